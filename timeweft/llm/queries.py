@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import documents
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_common_lines
+from .simhash import simhash_groups
+from .token_count import count_tokens
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +59,21 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (goes) AS BIGINT) AS n_
 FROM m GROUP BY doc_id
 """
 
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_groups(documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_simhash": op6_simhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_token_count": op10_token_count,
 }
 
 SQL = {
