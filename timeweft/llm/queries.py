@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from .common import documents
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_common_lines
+from .mixing import mix
+from .sharding import shard_documents
 from .simhash import simhash_groups
 from .token_count import count_tokens
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -65,13 +71,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_count": op10_token_count,
 }
