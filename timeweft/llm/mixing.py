@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, ranked
 
 EPS = 1e-9
+#: Documents that a group leaves undecided at most: the smallest, and the one that pivoting left.
+LEAVE = 8
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -99,8 +101,12 @@ def _settle(seed: int, level: int, fan_in: int):
     def settle(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("size", "ascending")])
         at = [seed, level, table["sid"][0].as_py(), table["bucket"][0].as_py()]
-        root = table["n_docs"][0].as_py() <= fan_in ** (level + 1)
-        p = (settle_all if root else pivot)(table["p"].to_numpy(), table["size"].to_numpy(), np.random.default_rng(at))
+        p, mass, rng = table["p"].to_numpy().copy(), table["size"].to_numpy(), np.random.default_rng(at)
+        if table["n_docs"][0].as_py() <= fan_in * (fan_in // LEAVE) ** level:
+            p = settle_all(p, mass, rng)
+        else:
+            large = np.argsort(-mass, kind="stable")[: 1 - LEAVE]
+            p[large] = pivot(p[large], mass[large], rng)
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return settle
@@ -115,9 +121,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     give the same copies, however rows are dealt to tasks.
 
     *Plan.* One pass over the texts leaves ids, sources and sizes. Documents of a source are
-    hashed into groups of about ``fan_in``; each leaves at most one undecided document, and
-    those meet ``fan_in`` groups at a time, level by level. A source's last group is rounded in
-    full, large documents first. A group holds about ``fan_in`` rows, however hot its source.
+    hashed into groups of about ``fan_in``; each leaves at most ``LEAVE`` undecided documents, and
+    those meet ``fan_in / LEAVE`` groups at a time, level by level. A source's last group is rounded
+    in full, large documents first. A group holds about ``fan_in`` rows, however hot its source.
 
     *Cases.* Null text: size 0; documents of size 0 take copies by their own coin and no words.
     A null source is a source of its own. A source of size 0 has target 0 and no copies. Empty table:
@@ -135,14 +141,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("n_docs") / F.lit(fan_in))))
     most_docs = src.agg(F.max("n_docs")).first()[0] or 0
     depth = 1
-    while most_docs > fan_in**depth:
+    while most_docs > fan_in * (fan_in // LEAVE) ** (depth - 1):
         depth += 1
     decided, schema = [], rows.schema
     for level in range(depth):
         rows = cut(rows.groupBy("sid", "bucket").applyInArrow(_settle(seed, level, fan_in), schema))
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         decided.append(rows.filter(~open_))
-        rows = rows.filter(open_).withColumn("bucket", F.floor(F.col("bucket") / F.lit(fan_in)))
+        rows = rows.filter(open_).withColumn("bucket", F.floor(F.col("bucket") / F.lit(fan_in // LEAVE)))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
