@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, ranked
 
 EPS = 1e-9
-#: Documents that a group leaves undecided at most: the smallest, and the one that pivoting left.
-LEAVE = 8
+#: Documents that a group leaves undecided at most: the last by id, and the one that pivoting left. The last group of a
+#: source so has documents of all sizes, among which the words of a large one can be shared.
+LEAVE = 16
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -105,8 +106,7 @@ def _settle(seed: int, level: int, fan_in: int):
         if table["n_docs"][0].as_py() <= fan_in * (fan_in // LEAVE) ** level:
             p = settle_all(p, mass, rng)
         else:
-            large = np.argsort(-mass, kind="stable")[: 1 - LEAVE]
-            p[large] = pivot(p[large], mass[large], rng)
+            p[: 1 - LEAVE] = pivot(p[: 1 - LEAVE], mass[: 1 - LEAVE], rng)
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return settle
