@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, table
 from .exact_dedup import exact_dedup
+from .language_id import fit, identify, page_evidence
 from .line_dedup import drop_common_lines
 from .mixing import mix
 from .sharding import shard_documents
@@ -66,6 +67,11 @@ FROM m GROUP BY doc_id
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, options = page_evidence(table(spark, sf_dir, "pages"))
+    return identify(rows, fit(documents(spark, sf_dir)), **options).withColumnRenamed("id", "page_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -83,6 +89,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
