@@ -10,8 +10,10 @@ from .exact_dedup import exact_dedup
 from .language_id import fit, identify, page_evidence
 from .line_dedup import drop_common_lines
 from .mixing import mix
+from .sentencepiece_lattice import encode, load
 from .sharding import shard_documents
 from .simhash import simhash_groups
+from .substring_dedup import drop_repeated_lines
 from .token_count import count_tokens
 
 
@@ -19,6 +21,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode(documents(spark, sf_dir), load("piece_bpe_32k.model"))
+    return out.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "restored")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -77,6 +84,38 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_lines(documents(spark, sf_dir))
+    spans = F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["stop"], r["kept_in"]))
+    return out.select(
+        "doc_id",
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(spans, ";").alias("removed"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+k AS (
+  SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS BIGINT) AS start,
+         translate(regexp_replace(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), '[ 	-]+', ' ', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+u AS (SELECT * FROM k WHERE len(string_split(key, ' ')) >= 20),
+r AS (
+  SELECT doc_id, pos, row_number() OVER w AS nth, first_value(doc_id) OVER w AS kept_in
+  FROM u WINDOW w AS (PARTITION BY key ORDER BY doc_id, pos)),
+m AS (SELECT k.*, r.kept_in, coalesce(r.nth, 1) > 1 AS goes FROM k LEFT JOIN r USING (doc_id, pos))
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (goes) AS BIGINT) AS n_removed,
+       coalesce(string_agg(start || '-' || (start + length(line)) || '-' || kept_in, ';' ORDER BY pos) FILTER (goes), '') AS removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
@@ -88,9 +127,11 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_count": op10_token_count,
@@ -98,5 +139,6 @@ QUERIES = {
 
 SQL = {
     "op4_exact_dedup": OP4_SQL,
+    "op7_substring_dedup": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
 }
