@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, table
 from .exact_dedup import exact_dedup
+from .image_copies import copy_classes, page_pictures
 from .language_id import fit, identify, page_evidence
 from .line_dedup import drop_common_lines
 from .mixing import mix
@@ -26,6 +27,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "restored")
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_classes(page_pictures(table(spark, sf_dir, "pages"))).withColumnRenamed("image_id", "page_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -101,7 +106,8 @@ WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FRO
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
 k AS (
   SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS BIGINT) AS start,
-         translate(regexp_replace(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), '[ 	-]+', ' ', 'g'),
+         translate(regexp_replace(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), '[ 	-
+]+', ' ', 'g'),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l),
 u AS (SELECT * FROM k WHERE len(string_split(key, ' ')) >= 20),
@@ -128,6 +134,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_image_copies": op3_image_copies,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
