@@ -21,6 +21,8 @@ BLANK = "▁"
 LONGEST = 60
 #: Words of a worker's own that it remembers; when full it starts anew.
 REMEMBERED = 1 << 17
+#: The score and id of what is no piece.
+NONE = (float("-inf"), -1)
 #: Documents in one outgoing Arrow batch.
 BATCH = 256
 
@@ -58,6 +60,9 @@ class Pieces:
         return self._merge(word) if self.kind == "bpe" else self._viterbi(word)
 
     def _merge(self, word: str) -> list[int]:
+        """The best-scored, leftmost pair first: a scan over few parts, a heap with links over many."""
+        if len(word) <= 24:
+            return self._merge_short(word)
         n, index = len(word), self.index
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(-index[p][0], i, i + 2) for i in range(n - 1) if (p := word[i : i + 2]) in index]
@@ -81,6 +86,24 @@ class Pieces:
             i = end[i]
         return out
 
+    def _merge_short(self, word: str) -> list[int]:
+        index = self.index
+        get = index.get
+        parts = list(word)
+        score = [get(a + b, NONE)[0] for a, b in zip(word, word[1:], strict=False)]
+        while score:
+            best = max(score)
+            if best == NONE[0]:
+                break
+            i = score.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del score[i]
+            if i:
+                score[i - 1] = get(parts[i - 1] + parts[i], NONE)[0]
+            if i < len(score):
+                score[i] = get(parts[i] + parts[i + 1], NONE)[0]
+        return [x for p in parts for x in ((index[p][1],) if p in index else self.fallback(p))]
+
     def _viterbi(self, word: str) -> list[int]:
         best = [(0.0, -1)]
         lowest = min((s for _, _, s in self.rows), default=0.0) - 10.0
@@ -235,7 +258,7 @@ def _encoder(shared, pieces_shared) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, pieces: Pieces, most_words: int = 1 << 17, text: str = "text", key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, most_words: int = 1 << 18, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, ids, restored`` for each row of ``docs``: the ids of the whole text, and whether decoding them gives it back.
 
     *Plan.* Words are units that no piece reaches across. The ``most_words`` commonest are
