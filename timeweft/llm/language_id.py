@@ -51,9 +51,13 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = 2000, smoothing: float = 0.05) -> TextModel:
-    """A model from at most ``rows`` labelled rows, those with the least hash of the id. Rows without a label don't count."""
-    few = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("l"), F.col(text).alias("t"), F.xxhash64(F.lit("fit"), key).alias("h"))
-    few = few.orderBy("h", "t").limit(rows).collect()
+    """A model from about ``rows`` labelled rows, twice that at most: those whose id's hash is under a bound that their number sets.
+
+    The bound is the one sample here; rows without a label don't count. Only sampled rows reach the driver.
+    """
+    named = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("l"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(2**40)).alias("h"))
+    share = min(1.0, rows / max(1, named.count()))
+    few = named.filter(F.col("h") < int(share * 2**40)).limit(2 * rows).select("l", "t").collect()
     languages = tuple(sorted({r["l"] for r in few}))
     counts = np.full((len(languages) + 1, BUCKETS), smoothing)
     counts[-1] = 1.0
@@ -174,4 +178,4 @@ def keep_known(docs: DataFrame, model: TextModel, least: float = 0.5, key: str =
     """
     rows = docs.select(F.col(key).alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
     found = identify(rows, model).filter((F.col("language") != UNKNOWN) & (F.col("confidence") >= least)).select(F.col("id").alias("_id")).distinct()
-    return docs.join(found, F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(found, docs[key].eqNullSafe(found["_id"]), "left_semi")
