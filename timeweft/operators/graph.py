@@ -7,6 +7,7 @@ version is the last one written at ``at`` or before, and it counts if ``valid_fr
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,11 +84,15 @@ def with_props(rows: DataFrame, g: Graph, kind: str, names: Sequence[str], at: i
 def oriented(g: Graph, at: int | None, direction: str = "out", relation: str | Sequence[str] | None = None, edges: DataFrame | None = None) -> DataFrame:
     """``node, nbr, edge_id, relation, ord`` for each side of each edge at ``at``; in both directions a self-loop is there twice.
 
-    ``ord`` is the order in which a node's edges are visited: outgoing ones first, each by creation.
+    ``ord`` is the order in which a node's edges are visited: outgoing ones first, each by creation. An edge's relation never
+    changes, so it is filtered before the versions are compared, where the filter reaches the scan.
     """
-    e = edges_at(g, at) if edges is None else edges
-    if relation is not None:
-        e = e.filter(F.col("relation").isin([relation] if isinstance(relation, str) else list(relation)))
+    wanted = None if relation is None else F.col("relation").isin([relation] if isinstance(relation, str) else list(relation))
+    if edges is None:
+        edges = edges_at(g if wanted is None else replace(g, edges=g.edges.filter(wanted)), at)
+    elif wanted is not None:
+        edges = edges.filter(wanted)
+    e = edges
 
     def side(a: str, b: str, first: int) -> DataFrame:
         return e.select(F.col(a).alias("node"), F.col(b).alias("nbr"), F.col("id").alias("edge_id"), "relation", F.struct(F.lit(first).alias("side"), F.col("adj_pos").alias("pos"), F.col("id").alias("e")).alias("ord"))

@@ -128,14 +128,17 @@ def commerce_graph(spark: SparkSession, sf_dir: str) -> Graph:
     line = t["lineitem"].withColumn("born", us("l_shipdate"))
     line = line.withColumn("lid", F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("born") / DAY)))
     line = line.withColumn("pos", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-    # The first version of either edge of a line item, and for returned ones its deletion after 30 days.
-    hops = F.array(
-        F.struct(F.lit("ct_").alias("p"), _id("order", "l_orderkey").alias("src"), _id("part", "l_partkey").alias("dst"), F.lit("contains").alias("relation")),
-        F.struct(F.lit("sb_").alias("p"), _id("part", "l_partkey").alias("src"), _id("supplier", "l_suppkey").alias("dst"), F.lit("supplied_by").alias("relation")),
-    )
-    times = F.when(F.col("l_returnflag") == "R", F.array(F.struct(false.alias("deleted"), zero.alias("after")), F.struct(F.lit(True).alias("deleted"), F.lit(30 * DAY).alias("after")))).otherwise(F.array(F.struct(false.alias("deleted"), zero.alias("after"))))
-    lines = line.select("lid", "born", "pos", hops.alias("hops"), times.alias("times")).select("lid", "born", "pos", "times", F.explode("hops").alias("h")).select("*", F.explode("times").alias("v"))
-    edges.append(lines.select(F.concat("h.p", "lid").alias("id"), "h.src", "h.dst", "h.relation", F.col("born").alias("valid_from"), F.when(F.col("v.deleted"), F.col("born") + 30 * DAY).otherwise(F.col("born") + 90 * DAY).alias("valid_to"), "v.deleted", F.col("pos").alias("adj_pos"), (F.col("born") + F.col("v.after")).alias("ts_us")))
+    # Two relations, two branches with a constant each, so a filter on the relation prunes the other; the first version of
+    # each edge and, for returned items, its deletion after 30 days.
+    first = F.array(F.struct(false.alias("deleted"), zero.alias("after")))
+    both = F.array(F.struct(false.alias("deleted"), zero.alias("after")), F.struct(F.lit(True).alias("deleted"), F.lit(30 * DAY).alias("after")))
+    times = line.select("lid", "born", "pos", "l_orderkey", "l_partkey", "l_suppkey", F.when(F.col("l_returnflag") == "R", both).otherwise(first).alias("times"))
+    times = times.select("*", F.explode("times").alias("v"))
+    for prefix, relation, src, dst in (("ct_", "contains", _id("order", "l_orderkey"), _id("part", "l_partkey")), ("sb_", "supplied_by", _id("part", "l_partkey"), _id("supplier", "l_suppkey"))):
+        edges.append(times.select(
+            F.concat(F.lit(prefix), "lid").alias("id"), src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), F.col("born").alias("valid_from"),
+            F.when(F.col("v.deleted"), F.col("born") + 30 * DAY).otherwise(F.col("born") + 90 * DAY).alias("valid_to"), "v.deleted", F.col("pos").alias("adj_pos"), (F.col("born") + F.col("v.after")).alias("ts_us"),
+        ))
     weight = 1 - F.col("l_discount")
     owned = F.array(
         F.struct(F.lit("quantity").alias("prop"), F.col("l_quantity").alias("num"), zero.alias("after")),
