@@ -430,9 +430,9 @@ def traverse_both_rel(spark, sf):
     return traverse.bfs(user_graph(spark, sf), "user_0", T, "both", ["influences"], 4).drop("path")
 
 
-@registered(f"WITH {twins.USERS}, {twins.snapshot(T)}, {', '.join(_bfs_sql('user_0', 6, _ALL))}, r AS ({_levels(6, 'node, path, depth')}) SELECT path, depth AS length FROM r WHERE node = 'user_9'")
+@registered(f"WITH {twins.USERS}, {twins.snapshot(T)}, {', '.join(_bfs_sql('user_0', 6, _ALL))}, r AS ({_levels(6, 'node, path, depth')}) SELECT path, depth AS length FROM r WHERE node = 'user_13'")
 def shortest_path(spark, sf):
-    rows = traverse.shortest_path(user_graph(spark, sf), "user_0", "user_9", T, max_depth=6)
+    rows = traverse.shortest_path(user_graph(spark, sf), "user_0", "user_13", T, max_depth=6)
     return rows.select(F.array_join("path", ">").alias("path"), "length")
 
 
