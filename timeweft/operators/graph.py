@@ -118,6 +118,12 @@ def expand(rows: DataFrame, g: Graph, at: int | None, start: str, edge: str, end
     return with_props(out, g, "node", props.get(end, ()), at, f"{end}.__id", f"{end}.")
 
 
+def adjacency(g: Graph, at: int | None = None) -> DataFrame:
+    """``node, direction (out | in), edge_ids``: each node's edges at ``at`` in the order of their creation."""
+    both = oriented(g, at, "out").select("node", F.lit("out").alias("direction"), "ord").unionByName(oriented(g, at, "in").select("node", F.lit("in").alias("direction"), "ord"))
+    return both.groupBy("node", "direction").agg(F.transform(F.array_sort(F.collect_list("ord")), lambda o: o["e"]).alias("edge_ids"))
+
+
 def scan(g: Graph, at: int | None, var: str, kind: str | None = None, props: Sequence[str] = (), nodes: DataFrame | None = None) -> DataFrame:
     """``var.id, var.__type`` and the named properties of nodes that live and are valid at ``at``."""
     rows = nodes_at(g, at, kind) if nodes is None else nodes

@@ -55,3 +55,13 @@ META_COLUMNS = ("key", "total_writes", "write_rate", "min_value", "max_value", "
 
 def meta_scan(log: DataFrame, pattern: str) -> DataFrame:
     return key_meta(log, pattern).select(*META_COLUMNS)
+
+
+def service_stats(g, log: DataFrame) -> DataFrame:
+    """One row: the store's and the graph's counts, and the log's bytes, as the statistics service reports them."""
+    from .graph import graph_stats
+    from .store import store_stats
+
+    graph = graph_stats(g).groupBy().agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col(c))), F.lit(0)).alias(f"{w}s_{c}") for w in ("node", "edge") for c in ("total", "active", "deleted")])
+    size = log.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+    return store_stats(log).crossJoin(graph).crossJoin(size)  # one row each

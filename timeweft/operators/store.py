@@ -98,6 +98,12 @@ def batch_set(rows: DataFrame, ts_us: int, node: int = 0) -> DataFrame:
     )
 
 
+def stamp(rows: DataFrame, node: int = 0, order: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Clock columns for rows with ``ts_us``: rows of one microsecond get consecutive sequence numbers in ``order``, so no two stamps are equal."""
+    n = F.row_number().over(Window.partitionBy("ts_us").orderBy(*order)) - 1
+    return rows.withColumn("hlc_node", F.lit(node).cast("tinyint")).withColumn("hlc_seq", n.cast("smallint"))
+
+
 def append(log: DataFrame, rows: DataFrame) -> DataFrame:
     return log.unionByName(rows, allowMissingColumns=True)
 

@@ -392,6 +392,44 @@ def graph_stats(spark, sf):
     return G.graph_stats(commerce_graph(spark, sf))
 
 
+@registered(
+    f"""WITH {twins.USERS}, {twins.snapshot(T)} SELECT src AS node, 'out' AS direction, string_agg(id, ',' ORDER BY adj_pos) AS edge_ids FROM edges_at GROUP BY 1
+UNION ALL SELECT dst, 'in', string_agg(id, ',' ORDER BY adj_pos) FROM edges_at GROUP BY 1"""
+)
+def adjacency_lists(spark, sf):
+    return G.adjacency(user_graph(spark, sf), T).withColumn("edge_ids", F.array_join("edge_ids", ","))
+
+
+@registered(
+    f"""WITH {twins.USERS}, l AS ({_LAST.format(where='')}) SELECT (SELECT count(*) FROM l) AS keys, (SELECT count(*) FROM log) AS versions, (SELECT count(*) FROM l WHERE tombstone) AS tombstoned_keys,
+(SELECT count(*) FROM nodes) AS nodes_total, (SELECT count(*) FROM nodes) AS nodes_active, 0 AS nodes_deleted, (SELECT count(*) FROM edges) AS edges_total, (SELECT count(*) FROM edges) AS edges_active, 0 AS edges_deleted,
+(SELECT CAST(sum(coalesce(strlen(value), 0)) AS BIGINT) FROM log) AS bytes"""
+)
+def service_stats(spark, sf):
+    return stats.service_stats(user_graph(spark, sf), event_log(spark, sf))
+
+
+@registered("SELECT epoch_us(o_orderdate) AS ts_us, o_orderkey AS key, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) - 1 AS hlc_seq FROM orders")
+def clock_stamps(spark, sf):
+    """Orders of one day share a microsecond and get consecutive stamps."""
+    rows = read(spark, sf, "orders").select(us("o_orderdate").alias("ts_us"), F.col("o_orderkey").alias("key"))
+    return store.stamp(rows).select("ts_us", "key", F.col("hlc_seq").cast("bigint").alias("hlc_seq"))
+
+
+@registered(
+    f"""WITH {twins.COMMERCE}, {twins.snapshot(None, False)}, n AS (SELECT type AS tenant, count(*) AS nodes FROM nodes_at GROUP BY 1), e AS (SELECT split_part(src, '_', 1) AS tenant, count(*) AS edges FROM edges_at GROUP BY 1)
+SELECT tenant, nodes, coalesce(edges, 0) AS edges FROM n LEFT JOIN e USING (tenant) WHERE nodes > 100 OR coalesce(edges, 0) > 1000"""
+)
+def quota_check(spark, sf):
+    """Node types stand in for tenants."""
+    g = commerce_graph(spark, sf)
+    nodes = G.nodes_at(g, check_valid=False).groupBy(F.col("type").alias("tenant")).agg(F.count(F.lit(1)).alias("nodes"))
+    edges = G.edges_at(g, check_valid=False).groupBy(F.substring_index("src", "_", 1).alias("tenant")).agg(F.count(F.lit(1)).alias("edges"))
+    counts = nodes.join(edges, "tenant", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    quotas = nodes.select("tenant", F.lit(100).alias("max_nodes"), F.lit(1000).alias("max_edges"))
+    return store.over_quota(counts, quotas).select("tenant", "nodes", "edges")
+
+
 @registered(f"WITH {twins.COMMERCE}, {_NOW} SELECT p.owner_id AS id FROM props_at p JOIN nodes_at n ON n.id = p.owner_id WHERE p.owner_kind = 'node' AND p.value = 'FURNITURE' ORDER BY 1 LIMIT 1")
 def resolve_node(spark, sf):
     return G.resolve(commerce_graph(spark, sf), "FURNITURE")
