@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower
+from .common import WHITE, ascii_lower, cut
 
 
 def line_key(line: Column) -> Column:
@@ -27,8 +27,8 @@ def drop_common_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
     *Plan.* Documents give each of their long keys once (distinct inside the row, before any
     shuffle); a hash aggregate with fixed-width buffers counts documents and finds the largest
     id, so a key in a third of all documents reaches the shuffle once for each input split.
-    Only keys over the limit meet the lines again, hashes and positions only; the dropped
-    positions then come back to their document, where a hash-based ``array_except`` picks the
+    Only keys over the limit, kept as a table of their own, meet the lines again, hashes and positions only, in a
+    join that has a shuffle on either side and so can be split at a hot key; the dropped positions then come back to their document, where a hash-based ``array_except`` picks the
     lines that stay, in order.
 
     *Cases.* Null or empty text: one empty line, which stays. Empty table: no rows. Rows with
@@ -45,10 +45,11 @@ def drop_common_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
     long = F.filter(F.transform("lines", line_key), lambda k: F.char_length(k) >= min_points)
     own = ids.select("doc_id", F.explode(F.array_distinct(F.transform(long, hashes))).alias("h")).select("doc_id", "h.a", "h.b")
     common = own.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("stays")).filter(F.col("n") >= min_docs)
+    common = cut(common.select("a", "b", "stays"))
     placed = ids.select("doc_id", F.posexplode("lines").alias("at", "line")).withColumn("k", line_key(F.col("line"))).filter(F.char_length("k") >= min_points)
     a, b = line_hash(F.col("k"))
     placed = placed.select("doc_id", "at", a.alias("a"), b.alias("b"))
-    goes = placed.join(common.select("a", "b", "stays"), ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("stays")))
+    goes = placed.join(common, ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("stays")))
     goes = goes.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at")).select(F.col("doc_id").alias("d"), "at")
     out = ids.join(goes, F.col("doc_id").eqNullSafe(F.col("d")), "left").withColumn("dropped", F.coalesce("at", F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
