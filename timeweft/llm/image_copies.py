@@ -18,18 +18,20 @@ from .components import components
 
 SCALES = (1.0, 0.8, 0.64)
 #: Corners kept at each scale.
-CORNERS = (12, 8, 5)
-RADIUS = 7
+CORNERS = (9, 6, 3)
+RADIUS = 9
 TURNS = 24
+#: Tables of keys; each has 64 of a descriptor's bits.
+TABLES = 3
 #: Pictures of one shape that are worked on together.
 TOGETHER = 128
 _HEAD = re.compile(rb"P([56])\s+(\d+)\s+(\d+)\s+255\s")
 
 
 def _tests() -> np.ndarray:
-    """For each turn, 256 pairs of points within the patch: turns x 256 x 2 points x (y, x)."""
+    """For each turn, 192 pairs of points within the patch: turns x 192 x 2 points x (y, x)."""
     rng = np.random.default_rng(20_090_501)
-    base = np.clip(rng.normal(0, RADIUS / 2.2, (256, 2, 2)), -RADIUS / 1.45, RADIUS / 1.45)
+    base = np.clip(rng.normal(0, RADIUS / 2.2, (64 * TABLES, 2, 2)), -RADIUS / 1.45, RADIUS / 1.45)
     angle = np.arange(TURNS) * 2 * np.pi / TURNS
     turn = np.stack([np.stack([np.cos(angle), np.sin(angle)], -1), np.stack([-np.sin(angle), np.cos(angle)], -1)], 1)
     return np.rint(np.einsum("tij,npj->tnpi", turn, base)).astype(np.int32)
@@ -103,21 +105,23 @@ def _resized(stack: np.ndarray, scale: float) -> np.ndarray:
 
 
 def _smooth(stack: np.ndarray) -> np.ndarray:
-    for axis in (1, 2):
-        pad = [(0, 0)] * 3
-        pad[axis] = (2, 2)
-        p = np.pad(stack, pad, mode="edge")
+    """Binomial weights of five along either axis; edges repeat."""
+    for axis in (-2, -1):
+        p = np.pad(stack, [(2, 2) if i == stack.ndim + axis else (0, 0) for i in range(stack.ndim)], mode="edge")
         n = stack.shape[axis]
-        part = [np.take(p, range(i, i + n), axis) for i in range(5)]
-        stack = (part[0] + part[4] + 4 * (part[1] + part[3]) + 6 * part[2]) / 16
+        part = [p[..., i : i + n, :] if axis == -2 else p[..., i : i + n] for i in range(5)]
+        stack = part[2] * 0.375
+        stack += (part[1] + part[3]) * 0.25
+        stack += (part[0] + part[4]) * 0.0625
     return stack
 
 
 def features(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each scale: which picture, ``(x, y, turn, scale)`` in the picture's own pixels, and 256 bits as 4 integers.
+    """For each scale: which picture, ``(x, y, turn, scale)`` in the picture's own pixels, and 64 bits for each table.
 
     Corners are the strongest local peaks of the Harris response. A corner's turn is the
-    direction of its patch's centre of brightness; the tests that make the bits turn with it.
+    direction of its patch's centre of brightness; the tests that make the bits turn with it. The
+    patch's slope is taken out first: it would decide most tests alike in all patches.
     """
     out = []
     for number, (scale, most) in enumerate(zip(SCALES, CORNERS, strict=True)):
@@ -128,7 +132,7 @@ def features(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
             continue
         dy, dx = np.zeros_like(img), np.zeros_like(img)
         dy[:, 1:-1], dx[:, :, 1:-1] = img[:, 2:] - img[:, :-2], img[:, :, 2:] - img[:, :, :-2]
-        xx, yy, xy = _smooth(dx * dx), _smooth(dy * dy), _smooth(dx * dy)
+        xx, yy, xy = _smooth(np.stack([dx * dx, dy * dy, dx * dy]))
         strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         core = strength[:, edge:-edge, edge:-edge]
         peak = np.ones(core.shape, bool)
@@ -150,6 +154,9 @@ def features(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
         turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
         at = TESTS[turn]
         value = img[which[:, None, None], y[:, None, None] + at[..., 0], x[:, None, None] + at[..., 1]]
+        even = float((span**2 * disc).sum())
+        slope_y, slope_x = (patch * span[:, None]).sum((1, 2)) / even, (patch * span).sum((1, 2)) / even
+        value = value - slope_y[:, None, None] * at[..., 0] - slope_x[:, None, None] * at[..., 1]
         bits = np.packbits(value[..., 0] < value[..., 1], axis=1).view(np.int64)
         where = np.stack([(x + 0.5) / scale - 0.5, (y + 0.5) / scale - 0.5, turn, np.full(len(x), number)], 1)
         out.append((which, where, bits))
@@ -157,33 +164,57 @@ def features(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def descriptors(media: DataFrame, picture: str = "image", key: str = "image_id") -> DataFrame:
-    """``image_id, bits (4 longs), geo``: geo packs x, y (16 bits each, in quarter pixels), turn and scale (8 bits each)."""
+    """``image_id, digest, found`` for each row of ``media``, in one pass over the pictures.
+
+    ``digest`` is 128 bits of the bytes' SHA-256 (null for none), ``found`` holds longs for each corner: its place (x and y in 16
+    bits each, turn and scale in 8 bits each) and the bits for each table.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
         for big in it:
             for start in range(0, big.num_rows, TOGETHER):
                 b = big.slice(start, TOGETHER)
-                ids = np.array(b.column(0).to_pylist(), np.int64)
+                pictures = b.column(1).to_pylist()
                 shapes = defaultdict(list)
-                for i, data in enumerate(b.column(1).to_pylist()):
+                for i, data in enumerate(pictures):
                     if (img := decode_picture(data)) is not None:
                         shapes[img.shape].append((i, img))
+                own = [b"" for _ in pictures]
                 for held in shapes.values():
-                    own = ids[[i for i, _ in held]]
                     for which, where, bits in features(np.stack([img for _, img in held])):
-                        x, y = (np.clip(np.rint(where[:, i] * 4), 0, 65535).astype(np.int64) for i in (0, 1))
+                        x, y = (np.clip(np.rint(where[:, i]), 0, 65535).astype(np.int64) for i in (0, 1))
                         geo = x << 32 | y << 16 | where[:, 2].astype(np.int64) << 8 | where[:, 3].astype(np.int64)
-                        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * 4), pa.array(bits.ravel()))
-                        yield pa.record_batch([pa.array(own[which]), flat, pa.array(geo)], names=["image_id", "bits", "geo"])
+                        table = np.column_stack([geo, bits])
+                        for n in np.unique(which):
+                            own[held[n][0]] += table[which == n].tobytes()
+                digest = pa.array([sha256(d).digest()[:16] if d else None for d in pictures], pa.binary())
+                yield pa.record_batch([b.column(0), digest, pa.array(own, pa.binary())], names=["image_id", "digest", "found"])
+
+    rows = media.select(F.col(key).cast("long").alias("image_id"), F.col(picture).alias("image"))
+    return rows.mapInArrow(batches, "image_id long, digest binary, found binary")
 
-    return media.filter(F.col(key).isNotNull()).select(F.col(key).alias("image_id"), F.col(picture).alias("image")).mapInArrow(batches, "image_id long, bits array<long>, geo long")
 
+def table_keys(found: DataFrame) -> DataFrame:
+    """``image_id, geo, key``: each corner once for each table, by 64 of its bits and the table's number."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for b in it:
+            parts = [np.frombuffer(x or b"", np.int64).reshape(-1, 1 + TABLES) for x in b.column(1).to_pylist()]
+            ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(p) for p in parts])
+            rows = np.concatenate(parts) if parts else np.empty((0, 1 + TABLES), np.int64)
+            keys = rows[:, 1:].view(np.uint64) ^ mark
+            yield pa.record_batch([pa.array(np.repeat(ids, TABLES)), pa.array(np.repeat(rows[:, 0], TABLES)), pa.array(keys.reshape(-1).view(np.int64))], names=["image_id", "geo", "key"])
+
+    return found.select("image_id", "found").mapInArrow(batches, "image_id long, geo long, key long")
 
-def links(found: DataFrame, window: int = 8, least: int = 4, step: float = 6.0) -> DataFrame:
-    """``src, dst``: pictures of which ``least`` corners or more agree on one turn, scale and shift.
 
-    Each descriptor goes to four tables keyed by 64 of its bits; descriptors that agree on a
-    key meet. Within a key, ordered by picture, a row meets the ``window`` rows before it and
+def links(rows: DataFrame, window: int = 8, least: int = 3, step: float = 6.0) -> DataFrame:
+    """``src, dst``: pictures of which ``least`` corners or more agree on one turn, scale and shift. ``rows``: ``image_id, geo, key``.
+
+    Descriptors that agree on a key meet. Within a key, ordered by picture, a row meets the ``window`` rows before it and
     the first one: all of them where a key has up to ``window + 2`` rows, and enough to connect
     the copies of one picture where it has more, without pairs that grow with the square. Each
     meeting votes for the shift that its turn and scale imply, in two grids half a step apart
@@ -191,7 +222,6 @@ def links(found: DataFrame, window: int = 8, least: int = 4, step: float = 6.0)
     """
     from pyspark.sql import Window
 
-    rows = found.select("image_id", "geo", F.posexplode("bits").alias("t", "bits")).select("image_id", "geo", F.xxhash64("t", "bits").alias("key"))
     by = Window.partitionBy("key").orderBy("image_id", "geo")
     one = F.struct("image_id", "geo")
     met = rows.withColumn("near", F.collect_list(one).over(by.rowsBetween(-window, -1))).withColumn("first", F.first(one).over(by)).filter(F.size("near") > 0)
@@ -205,7 +235,7 @@ def links(found: DataFrame, window: int = 8, least: int = 4, step: float = 6.0)
     turn = F.pmod(part("gb", 8) - part("ga", 8), F.lit(TURNS))
     ratio = F.element_at(scales, (part("ga", 0) + 1).cast("int")) / F.element_at(scales, (part("gb", 0) + 1).cast("int"))
     angle = turn * F.lit(2 * np.pi / TURNS)
-    ax, ay, bx, by_ = part("ga", 32, 16) / 4, part("ga", 16, 16) / 4, part("gb", 32, 16) / 4, part("gb", 16, 16) / 4
+    ax, ay, bx, by_ = part("ga", 32, 16), part("ga", 16, 16), part("gb", 32, 16), part("gb", 16, 16)
     met = met.withColumn("sx", bx - ratio * (F.cos(angle) * ax - F.sin(angle) * ay)).withColumn("sy", by_ - ratio * (F.sin(angle) * ax + F.cos(angle) * ay))
     met = met.withColumn("turn", turn).withColumn("level", part("gb", 0) - part("ga", 0))
     grids = F.array(*[F.struct(F.lit(i).alias("grid"), F.floor((F.col("sx") + i % 2 * step / 2) / step).alias("x"), F.floor((F.col("sy") + i // 2 * step / 2) / step).alias("y")) for i in range(4)])
@@ -215,37 +245,51 @@ def links(found: DataFrame, window: int = 8, least: int = 4, step: float = 6.0)
     return agreed.select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct()
 
 
-def copy_classes(media: DataFrame, picture: str = "image", key: str = "image_id", least: int = 4) -> DataFrame:
+def copy_classes(media: DataFrame, picture: str = "image", key: str = "image_id", least: int = 3) -> DataFrame:
     """``image_id, class_id, n_links`` for each row of ``media``: class_id is the smallest id that copies lead to.
 
-    *Plan.* Equal bytes are one class first (a partial aggregate on their digest), so only different pictures are described, once each.
-    The descriptors' keys are the one large shuffle; links and classes are small and go through star contraction.
+    *Plan.* A first pass leaves ids and digests, which are kept. A second one describes the pictures; equal bytes are one class (a partial
+    aggregate on the digest), and only its smallest id goes on, with the descriptors of one of them. The descriptors' keys are the one large
+    shuffle; links and classes are small and go through star contraction.
 
     *Cases.* Null, empty or unreadable pictures: a class of their own each, without links, or with those of equal bytes. Pictures too
     small or plain for corners: the same. Empty table: no rows. Rows with the same id: one result each. Ids must be integers; null ids
     have a null class. Other columns are ignored.
     """
-    digest = F.when(F.coalesce(F.octet_length(F.col(picture)), F.lit(0)) > 0, F.unhex(F.sha2(F.col(picture), 256)))
-    rows = cut(media.select(F.col(key).alias("image_id"), digest.alias("digest")))
-    heads = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("image_id").alias("head")).withColumnRenamed("digest", "d")
-    rows = cut(rows.join(heads, F.col("digest") == F.col("d"), "left").select("image_id", F.coalesce("head", "image_id").alias("head")))
-    different = rows.filter("image_id = head").select("image_id").distinct().withColumnRenamed("image_id", "h")
-    found = descriptors(media.join(different, F.col(key) == F.col("h"), "left_semi"), picture, key)
-    edges = cut(links(found, least=least))
+    digest = F.when(F.octet_length(F.col(picture)) > 0, F.substring(F.unhex(F.sha2(F.col(picture), 256)), 1, 16))
+    narrow = cut(media.select(F.col(key).cast("long").alias("image_id"), digest.alias("digest")))
+    described = descriptors(media, picture, key).filter(F.col("digest").isNotNull())
+    firsts = described.groupBy("digest").agg(F.min("image_id").alias("image_id"), F.first("found").alias("found"))
+    keys = table_keys(firsts.filter(F.col("image_id").isNotNull()))
+    edges = cut(links(keys, least=least))
     count = edges.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(edges)
-    out = rows.join(roots, F.col("head") == F.col("node"), "left").join(count, F.col("head") == F.col("n"), "left")
+    classes = roots.join(count, F.col("node") == F.col("n"), "left").select("node", "root", "n_links")
+    heads = narrow.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("image_id").alias("head")).withColumnRenamed("digest", "d")
+    out = narrow.join(heads, F.col("digest") == F.col("d"), "left").select("image_id", F.coalesce("head", "image_id").alias("head"))
+    out = out.join(classes, F.col("head") == F.col("node"), "left")
     return out.select("image_id", F.coalesce("root", "head").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def draw(number: int, side: int = 64) -> np.ndarray:
-    """A picture of its own for each number: blocks of grey under smooth shade."""
+def _spread(n: int, side: int) -> np.ndarray:
+    """Linear interpolation of n values over side pixels, as a matrix."""
+    at = np.linspace(0, n - 1, side)
+    low = np.minimum(at.astype(int), n - 2)
+    out = np.zeros((side, n), np.float32)
+    out[np.arange(side), low], out[np.arange(side), low + 1] = 1 - (at - low), at - low
+    return out
+
+
+SIDE = 64
+_COARSE, _FINE = _spread(9, SIDE), _spread(24, SIDE)
+
+
+def draw(number: int) -> np.ndarray:
+    """A picture of its own for each number: grain of two sizes, as in photographs, and one box."""
     rng = np.random.default_rng([77, number])
-    small = rng.integers(20, 236, (side // 8, side // 8)).astype(np.float32)
-    img = np.kron(small, np.ones((8, 8), np.float32))
-    for _ in range(10):
-        y, x, h, w = rng.integers(0, side - 6, 2).tolist() + rng.integers(4, side // 4, 2).tolist()
-        img[y : y + h, x : x + w] = rng.integers(0, 256)
+    img = _COARSE @ rng.uniform(40, 200, (9, 9)).astype(np.float32) @ _COARSE.T + _FINE @ rng.uniform(-45, 45, (24, 24)).astype(np.float32) @ _FINE.T
+    for y, x, h, w, grey in rng.integers([0, 0, 4, 4, 0], [58, 58, 16, 16, 256], (1, 5)).tolist():
+        img[y : y + h, x : x + w] = grey
     return img
 
 
