@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweft.llm.common import documents, shared_folder
+from timeweft.llm.common import documents, only, shared_folder
 from timeweft.llm.exact_dedup import exact_dedup
 from timeweft.llm.language_id import fit, keep_known
 from timeweft.llm.mixing import mixed_documents
@@ -26,14 +26,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    return only(docs, exact_dedup(docs).filter("kept").select("doc_id"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of SimHash links the smallest id stays."""
-    kept = simhash_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    return only(docs, simhash_groups(docs).filter("doc_id <=> component_id").select("doc_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

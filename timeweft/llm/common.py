@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,22 @@ def squeezed(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage is cut and its size is known, so a join broadcasts it only if it is small."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids`` (one column). The ids are hashed, so wide rows needn't be sorted.
+
+    Rows without an id stay or go together.
+    """
+    kept = ids.toDF("_kept").hint("shuffle_hash")
+    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+
+
 def ranked(df: DataFrame, by: list[Column], within: list[str], weight: str | None = None, rank: str = "rank", before: str = "before") -> DataFrame:
     """Adds ``rank``, each row's place (from 0) among the rows that agree on ``within``, in the order of ``by``.
 

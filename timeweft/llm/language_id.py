@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 #: Hashed letter trigrams.
 BUCKETS = 1 << 15
 UNKNOWN = "und"
 CHUNK = 1 << 20
+#: Rows that a worker turns into Python objects at a time.
+BATCH = 256
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 97 + b - 65 if 65 <= b <= 90 else 32 for b in range(256))
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
@@ -96,7 +98,8 @@ def identify(rows: DataFrame, model: TextModel, parse=parse_plain, temper: float
     the whole (``strength`` rows' worth each). A row's own posterior is taken out of its host's and domain's counts, so no evidence counts twice.
 
     *Plan.* One pass parses and scores whole texts and leaves a narrow table; the aggregates hold one number for
-    each language, so they combine before the shuffle, and the joins back can be split where a host is hot.
+    each language, so they combine before the shuffle. They are written as tables, so a join back broadcasts one whose size allows it
+    and can otherwise be split where a host is hot.
 
     *Cases.* Null or letterless text: no text evidence, so the priors decide; ``text_language`` is ``und``. Text that fits the
     uniform background better than any language: ``und``. Missing declaration, host or suffix: no evidence. Empty table: no rows. Repeated
@@ -106,7 +109,7 @@ def identify(rows: DataFrame, model: TextModel, parse=parse_plain, temper: float
     n = len(langs)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (big.slice(i, BATCH) for big in it for i in range(0, big.num_rows, BATCH)):
             out = []
             for text, declared, host in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 seen, said, at = parse(text, declared, host)
@@ -133,7 +136,7 @@ def identify(rows: DataFrame, model: TextModel, parse=parse_plain, temper: float
     everywhere = F.array(*[F.lit(float(x)) for x in sums([], "n_all").first()["n_all"]])  # a number for each language
     out = seen
     for by in ("host", "domain", "suffix", "declared"):
-        out = out.join(sums([by], f"n_{by}"), F.col(by) == F.col(f"n_{by}_{by}"), "left")
+        out = out.join(written(sums([by], f"n_{by}")), F.col(by) == F.col(f"n_{by}_{by}"), "left")
     none = F.array(*[F.lit(0.0)] * n)
 
     def less_own(c: str) -> Column:
@@ -170,12 +173,19 @@ def _softmax(scores: Column) -> Column:
     return F.transform(parts, lambda p: p / total)
 
 
+def document_evidence(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows for ``identify`` from documents: ``lang`` is the declared language, ``source`` the host."""
+    return docs.select(F.col(key).alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+
+
+def known(language: Column, confidence: Column, least: float = 0.5) -> Column:
+    return (language != UNKNOWN) & (confidence >= least)
+
+
 def keep_known(docs: DataFrame, model: TextModel, least: float = 0.5, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` (``text, lang, source``) whose language is known with a posterior of ``least`` or more.
 
-    The column ``lang`` is the declared language and ``source`` the host. Rows with the same id
-    stay or go together: they go only if all of them are rejected.
+    Rows with the same id stay or go together: they go only if all of them are rejected.
     """
-    rows = docs.select(F.col(key).alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
-    found = identify(rows, model).filter((F.col("language") != UNKNOWN) & (F.col("confidence") >= least)).select(F.col("id").alias("_id")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["_id"]), "left_semi")
+    found = identify(document_evidence(docs, key), model).filter(known(F.col("language"), F.col("confidence"), least)).select(F.col("id").alias("_id")).distinct()
+    return docs.join(found.hint("shuffle_hash"), docs[key].eqNullSafe(found["_id"]), "left_semi")

@@ -164,5 +164,5 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFram
     source = options.get("source", "source")
     taken = mix(docs, key=key, **options).groupBy("doc_id", "source").agg(F.min("copies").cast("int").alias("copies"))
     taken = taken.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
-    joined = docs.join(taken, docs[key].eqNullSafe(taken["_id"]) & docs[source].eqNullSafe(taken["_source"]))
+    joined = docs.join(taken.hint("shuffle_hash"), docs[key].eqNullSafe(taken["_id"]) & docs[source].eqNullSafe(taken["_source"]))
     return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["copies"])).alias("__copy")).drop("__copy")
