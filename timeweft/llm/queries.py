@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import documents, table
 from .exact_dedup import exact_dedup
 from .image_copies import copy_classes, page_pictures
-from .language_id import fit, identify, page_evidence
+from .language_id import document_evidence, fit, identify, known, page_evidence
 from .line_dedup import drop_common_lines
 from .mixing import mix
 from .sentencepiece_lattice import encode, load
@@ -80,8 +80,13 @@ FROM m GROUP BY doc_id
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by text, declared language and source, and all pages, by visible text, markup and address; the other's id is null."""
+    docs = documents(spark, sf_dir)
+    model, none = fit(docs), F.lit(None).cast("long")
     rows, options = page_evidence(table(spark, sf_dir, "pages"))
-    return identify(rows, fit(documents(spark, sf_dir)), **options).withColumnRenamed("id", "page_id")
+    pages = identify(rows, model, **options).select(none.alias("doc_id"), F.col("id").alias("page_id"), "*").drop("id")
+    texts = identify(document_evidence(docs), model).select(F.col("id").alias("doc_id"), none.alias("page_id"), "*").drop("id")
+    return texts.unionByName(pages).withColumn("kept", known(F.col("language"), F.col("confidence")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
