@@ -107,12 +107,14 @@ class Counter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        newer = {k: _newer(k) for k in "LN"}
         known = pattern.replace(r"\s", r"\p{White_Space}")
+        self.any = regex.compile(known)
+        newer = {k: _newer(k) for k in "LN"}
+        self.newer = re.compile(f"[{newer['L']}{newer['N']}]") if any(newer.values()) else None
         for k, spans in newer.items():  # in a negated class, what is newer joins the rest
             known = known.replace(rf"[\p{{{k}}}]", rf"[\p{{{k}}}--[{spans}]]" if spans else rf"[\p{{{k}}}]")
-        rest = rf"[^\p{{White_Space}}\p{{L}}\p{{N}}]"
-        self.any = regex.compile("(?V1)" + known.replace(rest, rf"[{rest}{newer['L']}{newer['N']}]"))
+        rest = r"[^\p{White_Space}\p{L}\p{N}]"
+        self.careful = regex.compile("(?V1)" + known.replace(rest, rf"[{rest}{newer['L']}{newer['N']}]"))
         self.ascii = re.compile(pattern.replace(r"\s", r"\t-\r ").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
 
     def __call__(self, text: str) -> int:
@@ -128,7 +130,8 @@ class Counter:
             text = unicodedata.normalize("NFC", text)
             for upper, lower in LOWER:
                 text = text.replace(upper, lower)
-            found = self.any.findall(text.lower())
+            text = text.lower()
+            found = (self.careful if self.newer and self.newer.search(text) else self.any).findall(text)
         return sum(map(self.words.__getitem__, found))
 
 
