@@ -16,8 +16,8 @@ from timeweft.llm.common import documents, only, shared_folder
 from timeweft.llm.exact_dedup import exact_dedup
 from timeweft.llm.language_id import fit, keep_known
 from timeweft.llm.mixing import mixed_documents
+from timeweft.llm.near_copies import near_groups
 from timeweft.llm.sentencepiece_lattice import encode, load
-from timeweft.llm.simhash import simhash_groups
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of SimHash links the smallest id stays."""
-    return only(docs, simhash_groups(docs).filter("doc_id <=> component_id").select("doc_id"))
+    """Of each component of SimHash links and of pairs that share 0.8 of their five-word shingles the smallest id stays."""
+    return only(docs, near_groups(docs).filter("doc_id <=> component_id").select("doc_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
