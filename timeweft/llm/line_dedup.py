@@ -25,8 +25,8 @@ def drop_common_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
     except those of the largest id that holds it.
 
     *Plan.* Documents give each of their long keys once (distinct inside the row, before any
-    shuffle); a hash aggregate with fixed-width buffers counts documents and finds the largest
-    id, so a key in a third of all documents reaches the shuffle once for each input split.
+    shuffle, then by id and key, so repeated rows count once); a hash aggregate with fixed-width buffers counts
+    documents and finds the largest id, so after that a key in a third of all documents is one row for each partition.
     Only keys over the limit, kept as a table of their own, meet the lines again, hashes and positions only, in a
     join that has a shuffle on either side and so can be split at a hot key; the dropped positions then come back to their document, where a hash-based ``array_except`` picks the
     lines that stay, in order.
@@ -43,7 +43,7 @@ def drop_common_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
         return F.struct(*(h.alias(n) for h, n in zip(line_hash(line), "ab", strict=True)))
 
     long = F.filter(F.transform("lines", line_key), lambda k: F.char_length(k) >= min_points)
-    own = ids.select("doc_id", F.explode(F.array_distinct(F.transform(long, hashes))).alias("h")).select("doc_id", "h.a", "h.b")
+    own = ids.select("doc_id", F.explode(F.array_distinct(F.transform(long, hashes))).alias("h")).select("doc_id", "h.a", "h.b").distinct()
     common = own.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("stays")).filter(F.col("n") >= min_docs)
     common = cut(common.select("a", "b", "stays"))
     placed = ids.select("doc_id", F.posexplode("lines").alias("at", "line")).withColumn("k", line_key(F.col("line"))).filter(F.char_length("k") >= min_points)
