@@ -14,7 +14,7 @@ from timeweft.llm.components import components
 from timeweft.llm.exact_dedup import exact_dedup
 from timeweft.llm.line_dedup import drop_common_lines
 from timeweft.llm.simhash import anchors, bucket_links, fingerprint, simhash_groups
-from timeweft.llm.substring_dedup import drop_repeated_lines
+from timeweft.llm.substring_dedup import drop_repeated_passages
 
 from .conftest import SCHEMA, sorted_rows
 
@@ -84,34 +84,97 @@ def test_lines(rows, docs, clashing, empty, repeated):
     assert shown(drop_common_lines(repeated)).count() == repeated.count()
 
 
-def brute_repeats(rows, min_words=20):
+def cut_units(text):
+    """Lines and clauses, character by character: a unit ends where what is neither mark nor white space follows a mark or line end."""
+    out, ended = [], False
+    for c in text or "":
+        if not out or (ended and c not in ".!?;, \t\n\x0b\x0c\r"):
+            out.append("")
+            ended = False
+        out[-1] += c
+        ended = ended or c in ".!?;,\n"
+    return out
+
+
+def brute_passages(rows, least=30):
+    """Rows in the order of ids, each unit compared with all that came before."""
     seen, out = {}, []
-    for i, t, *_ in sorted(rows):
-        at, removed, stay = 0, [], []
-        for pos, line in enumerate((t or "").split("\n")):
-            w = WORD.findall(line.translate(LOWER))
-            k = " ".join(w)
-            if len(w) >= min_words and k in seen:
-                removed.append((pos, at, at + len(line), seen[k]))
+    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        units = cut_units(t)
+        keys = [" ".join(WORD.findall(u.translate(LOWER))) for u in units]
+        size = [len(k.split()) for k in keys]
+        before = lambda k: seen.get(k)
+        link, alone = [], []
+        for n, k in enumerate(keys):
+            alone.append(size[n] >= least and before(k) is not None and (before(k),))
+            seen.setdefault(k, i)
+            two = tuple(keys[n : n + 2])
+            link.append(len(two) == 2 and before(two) is not None and (before(two),))
+            if len(two) == 2:
+                seen.setdefault(two, i)
+        n, at, removed, stay = 0, 0, [], ""
+        while n < len(units):
+            last = n
+            while link[last]:
+                last += 1
+            words_ = sum(size[n : last + 1])
+            part = "".join(units[n : last + 1])
+            if words_ >= least and (last > n or alone[n]):
+                removed.append((at, at + len(part), words_, (link[n] or alone[n])[0]))
             else:
-                stay.append(line)
-                if len(w) >= min_words:
-                    seen[k] = i
-            at += len(line) + 1
-        out.append((i, removed, "\n".join(stay)))
+                stay += part
+            at, n = at + len(part), last + 1
+        out.append((i, removed, stay))
     return out
 
 
-def test_repeated_lines(rows, docs, clashing, empty, repeated):
-    plain = lambda df: sorted((r.doc_id, [tuple(x) for x in r.removed], r.kept_text) for r in df.collect())
-    want = brute_repeats(rows)
+def plain_passages(df):
+    return sorted(((r.doc_id, [tuple(x) for x in r.removed], r.kept_text) for r in df.collect()), key=repr)
+
+
+def test_repeated_passages(rows, docs, clashing, empty, repeated):
+    want = sorted(brute_passages(rows), key=repr)
     assert sum(len(r[1]) for r in want) >= 2
-    assert plain(drop_repeated_lines(docs)) == want and plain(drop_repeated_lines(clashing)) == want
-    for i, removed, _ in want:  # spans point into the original text
-        text = next(t for d, t, *_ in rows if d == i)
-        assert all(text[a:b] == text.split("\n")[pos] for pos, a, b, _ in removed)
-    assert drop_repeated_lines(empty).count() == 0
-    assert drop_repeated_lines(repeated).count() == repeated.count()
+    assert plain_passages(drop_repeated_passages(docs)) == want and plain_passages(drop_repeated_passages(clashing)) == want
+    assert drop_repeated_passages(empty).count() == 0
+    assert plain_passages(drop_repeated_passages(repeated)) == sorted(want + [r for r in want if r[0] % 7 == 0], key=repr)
+
+
+def test_passages_inside_lines_and_over_short_ones(spark):
+    import random
+
+    r = random.Random(4)
+    say = lambda n: " ".join(f"x{r.randrange(10**6)}" for _ in range(n))
+    clauses = [say(9) + ("," if k % 2 else ".") for k in range(7)]
+    verse = "\n".join(say(4) for _ in range(14))
+    texts = [f"{say(9)}. {' '.join(clauses)} {say(8)}.", f"{say(5)}. {' '.join(clauses).upper()}  {say(30)}", f"{say(3)}\n{verse}\n{say(3)}", f"{say(40)}\n{verse}\n", say(200)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = plain_passages(drop_repeated_passages(spark.createDataFrame(rows, SCHEMA)))
+    assert got == sorted(brute_passages(rows), key=repr)
+    assert [sum(x[2] for x in r[1]) for r in got] == [0, 63, 0, 56, 0] and [x[3] for r in got for x in r[1]] == [0, 2]
+
+
+def test_passages_of_rows_without_an_id_or_with_the_same(spark):
+    passage = ". ".join(f"passage {k} of some words that come again" for k in range(6)) + "."
+    rows = [(None, f"one\n{passage}"), (None, f"two two\n{passage}"), (2, f"three\n{passage}"), (2, f"four\nfour\n{passage}"), (2, "own words of a third row")]
+    got = drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and sum(passage in r.kept_text for r in got) == 1
+    assert next(r.doc_id for r in got if passage in r.kept_text) == 2
+    assert sorted(r.kept_text.replace(passage, "") for r in got) == sorted(["one\n", "two two\n", "three\n", "four\nfour\n", "own words of a third row"])
+
+
+def test_repeated_passages_are_found_again(spark, data):
+    """Of the documents that hold 51 words in a row that an earlier one has too, at least 0.9 hold none afterwards."""
+    kept = {r.doc_id: r.kept_text for r in drop_repeated_passages(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet' ORDER BY doc_id").fetchall()
+    windows = lambda t: {tuple(w[k : k + 51]) for w in [(t or "").lower().split()] for k in range(len(w) - 50)}
+    seen, held, left = set(), 0, 0
+    for i, t in rows:
+        own = windows(t)
+        held += bool(own & seen)
+        left += bool(windows(kept[i]) & seen)
+        seen |= own
+    assert held and left <= 0.1 * held
 
 
 def brute_fingerprint(text, n=3):

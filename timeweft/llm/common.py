@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where that is unset (local tests) one of our own."""
+    """The folder that ``spark.checkpoint.dir`` names; only where that is unset in local mode (tests) one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="timeweft-checkpoint-"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="timeweft-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -47,6 +50,12 @@ def squeezed(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
 
+def text_key(text: Column, names: tuple[str, str] = ("h1", "h2")) -> tuple[Column, Column]:
+    """128 bits of a text as two longs (null like empty). With the id they tell rows apart, and equal rows agree."""
+    full = F.coalesce(text, F.lit(""))
+    return F.xxhash64(full).alias(names[0]), F.xxhash64(F.lit("row"), full).alias(names[1])
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage is cut and its size is known, so a join broadcasts it only if it is small."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from .mixing import mix
 from .sentencepiece_lattice import encode, load
 from .sharding import shard_documents
 from .simhash import simhash_groups
-from .substring_dedup import drop_repeated_lines
+from .substring_dedup import drop_repeated_passages
 from .token_count import count_tokens
 
 
@@ -95,35 +95,43 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeated_lines(documents(spark, sf_dir))
+    """What was removed: its words, its spans of code points with the id that keeps each, and the text that is left."""
+    out = drop_repeated_passages(documents(spark, sf_dir))
     spans = F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["stop"], r["kept_in"]))
-    return out.select(
-        "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size("removed").cast("long").alias("n_removed"),
-        F.array_join(spans, ";").alias("removed"),
-        F.sha2("kept_text", 256).alias("kept_sha256"),
-    )
+    words = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["words"])
+    return out.select("doc_id", words.alias("removed_words"), F.array_join(spans, ";").alias("removed_spans"), "kept_text")
 
 
 OP7_SQL = r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?;,\n]*[.!?;,\n][.!?;, \t\n\x0b\x0c\r]*|[^.!?;,\n]+$') AS units
+  FROM documents),
+u AS (SELECT doc_id, unnest(units) AS unit, unnest(range(len(units))) AS pos FROM d),
 k AS (
-  SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS BIGINT) AS start,
-         translate(regexp_replace(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), '[ 	-
-]+', ' ', 'g'),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM l),
-u AS (SELECT * FROM k WHERE len(string_split(key, ' ')) >= 20),
+  SELECT *, translate(trim(regexp_replace(unit, '[ \t\n\x0b\x0c\r]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
+         CAST(sum(length(unit)) OVER w AS BIGINT) - length(unit) AS start
+  FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (
+  SELECT *, CASE WHEN key = '' THEN 0 ELSE len(string_split(key, ' ')) END AS words, lead(key) OVER (PARTITION BY doc_id ORDER BY pos) AS next
+  FROM k),
 r AS (
-  SELECT doc_id, pos, row_number() OVER w AS nth, first_value(doc_id) OVER w AS kept_in
-  FROM u WINDOW w AS (PARTITION BY key ORDER BY doc_id, pos)),
-m AS (SELECT k.*, r.kept_in, coalesce(r.nth, 1) > 1 AS goes FROM k LEFT JOIN r USING (doc_id, pos))
-SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (goes) AS BIGINT) AS n_removed,
-       coalesce(string_agg(start || '-' || (start + length(line)) || '-' || kept_in, ';' ORDER BY pos) FILTER (goes), '') AS removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+  SELECT *, next IS NOT NULL AND row_number() OVER two > 1 AS linked, first_value(doc_id) OVER two AS two_in,
+         words >= 30 AND row_number() OVER one > 1 AS single, first_value(doc_id) OVER one AS one_in
+  FROM p WINDOW two AS (PARTITION BY key, next ORDER BY doc_id, pos), one AS (PARTITION BY key ORDER BY doc_id, pos)),
+g AS (SELECT *, coalesce(lag(linked) OVER w, false) AS behind FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+h AS (SELECT *, sum(CASE WHEN behind THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g),
+s AS (
+  SELECT doc_id, run, min(start) AS start, max(start + length(unit)) AS stop, sum(words) AS words, string_agg(unit, '' ORDER BY pos) AS part,
+         CASE WHEN count(*) > 1 THEN arg_min(two_in, pos) ELSE arg_min(one_in, pos) END AS kept_in,
+         (count(*) > 1 AND sum(words) >= 30) OR (count(*) = 1 AND bool_or(single)) AS goes
+  FROM h GROUP BY doc_id, run),
+x AS (
+  SELECT doc_id, CAST(coalesce(sum(words) FILTER (goes), 0) AS BIGINT) AS removed_words,
+         coalesce(string_agg(start || '-' || stop || '-' || kept_in, ';' ORDER BY start) FILTER (goes), '') AS removed_spans,
+         coalesce(string_agg(part, '' ORDER BY start) FILTER (NOT goes), '') AS kept_text
+  FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(removed_words, 0) AS removed_words, coalesce(removed_spans, '') AS removed_spans, coalesce(kept_text, '') AS kept_text
+FROM documents d LEFT JOIN x USING (doc_id)
 """
 
 

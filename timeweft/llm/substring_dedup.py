@@ -1,75 +1,128 @@
-"""Substring dedup by lines: a passage that came before, in any document, goes."""
+"""Substring dedup by lines and their clauses: a passage that came before, in any document, goes."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_key
 
 SHIFT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: A rank is id * PLACES + place of the line.
-PLACES = 2**32
+#: A unit: up to a line's end or one of ``.!?;,``, with the white space and marks that follow. Units make up the whole text.
+UNIT = "[^.!?;,\n]*[.!?;,\n][.!?;, \t\n\x0b\x0c\r]*|[^.!?;,\n]+$"
+#: Documents in one batch of Python objects.
+BATCH = 256
+_UNIT = re.compile(UNIT)
+_KEYS = {"doc_id": "long", "h1": "long", "h2": "long"}
 
 
-def units(docs: DataFrame, min_words: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, pos, start, stop, a, b``: each line of ``min_words`` words or more, its code points' span in the
-    text, and 128 bits of its normal form (white space runs as one blank, none at the ends, A-Z in lower case)."""
+def split_units(text: str | None) -> list[str]:
+    return _UNIT.findall(text or "")
+
+
+def normal(unit: str) -> bytes:
+    """A-Z in lower case, white space runs as one blank, none at the ends."""
+    return b" ".join(unit.encode().translate(SHIFT).split())
+
+
+def marks(docs: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, h1, h2, code, a, b``: 128-bit digests. Code ``2 i + 1`` is of unit i with the one after it, ``2 i`` of unit i alone if it has ``min_words``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
-        for b in it:
-            rows, of = [], []
-            for n, text in enumerate(b.column(1).to_pylist()):
-                at = 0
-                for pos, line in enumerate((text or "").split("\n")):
-                    words = line.encode().translate(SHIFT).split()
-                    if len(words) >= min_words:
-                        h = xxh3_128_intdigest(b" ".join(words))
-                        rows.append((pos, at, at + len(line), (h >> 64) - 2**63, (h & 2**64 - 1) - 2**63))
-                        of.append(n)
-                    at += len(line) + 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.record_batch([b.column(0).take(pa.array(of, pa.int32())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "pos", "start", "stop", "a", "b"])
-
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, pos int, start int, stop int, a long, b long")
-
-
-def drop_repeated_lines(docs: DataFrame, min_words: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """For each row of ``docs``: ``doc_id, lines, removed, kept_text``.
-
-    A line of ``min_words`` words or more whose normal form occurred before, in the order of ids and then of
-    places, is removed; shorter ones stay. ``removed`` has for each its place, its span
-    of code points in the original text and the id of the document that keeps the passage.
-
-    *Plan.* One pass leaves digests and spans, no text. A hash aggregate counts each digest and finds its
-    least rank, one fixed-width number of id and place, before and after the shuffle, so a passage
-    that fills a third of all documents is one row for each split. Repeated digests are kept as a table of their
-    own, so that the join which brings them back to their lines has a shuffle on either side and can be split
-    at a hot digest. Spans go back to their document by id, and the lines that stay are put together by place.
-
-    *Cases.* Null or empty text: one empty line, which stays. Empty table: no rows. Ids must be integers; rows with the same id
-    and text count as one document's line each at the same rank, so none of them removes the other. Null ids: their lines neither
-    remove nor go. Very long lines are units like others. Other columns are ignored.
+        low = 2**64 - 1
+        for b in (big.slice(i, BATCH) for big in it for i in range(0, big.num_rows, BATCH)):
+            of, code, one, two = [], [], [], []
+            for n, text in enumerate(b.column(3).to_pylist()):
+                units = [normal(u) for u in split_units(text)]
+                for i, u in enumerate(units):
+                    if u.count(b" ") + 1 >= min_words:
+                        h = xxh3_128_intdigest(u)
+                        of.append(n), code.append(2 * i), one.append((h >> 64) - 2**63), two.append((h & low) - 2**63)
+                for i, (u, v) in enumerate(zip(units, units[1:], strict=False)):
+                    h = xxh3_128_intdigest(u + b"\n" + v)
+                    of.append(n), code.append(2 * i + 1), one.append((h >> 64) - 2**63), two.append((h & low) - 2**63)
+            rows = pa.array(of, pa.int32())
+            cols = [b.column(i).take(rows) for i in range(3)] + [pa.array(code, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
+            yield pa.record_batch(cols, names=[*_KEYS, "code", "a", "b"])
+
+    return docs.mapInArrow(batches, ", ".join(f"{k} {t}" for k, t in _KEYS.items()) + ", code int, a long, b long")
+
+
+def runs(units: list[str], again: dict[int, int | None], min_words: int) -> list[tuple[int, int, int | None]]:
+    """``(from, to, kept_in)``: the runs of units that are repeated as they follow each other and have ``min_words`` together."""
+    out, i = [], 0
+    while i < len(units):
+        j = i
+        while 2 * j + 1 in again:
+            j += 1
+        if (j > i and sum(len(normal(u).split()) for u in units[i : j + 1]) >= min_words) or (j == i and 2 * i in again):
+            out.append((i, j + 1, again[2 * i + 1 if j > i else 2 * i]))
+        i = j + 1
+    return out
+
+
+def _cleaned(min_words: int, kind: str):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("kept_in", pa.int64())])
+        for b in (big.slice(i, BATCH) for big in it for i in range(0, big.num_rows, BATCH)):
+            removed, kept = [], []
+            for text, again in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                text, spans, rest, at, done = text or "", [], [], 0, 0
+                if again:
+                    units = split_units(text)
+                    ends = [0]
+                    for u in units:
+                        ends.append(ends[-1] + len(u))
+                    for i, j, keeper in runs(units, {m["code"]: m["kept_in"] for m in again}, min_words):
+                        start, stop = ends[i], ends[j]
+                        spans.append({"start": start, "stop": stop, "words": sum(len(normal(u).split()) for u in units[i:j]), "kept_in": keeper})
+                        rest.append(text[done:start])
+                        done = stop
+                removed.append(spans)
+                kept.append("".join(rest) + text[done:] if spans else text)
+            yield pa.record_batch([b.column(0), pa.array(removed, pa.list_(span)), pa.array(kept, pa.string())], names=["doc_id", "removed", "kept_text"])
+
+    return batches, f"doc_id {kind}, removed array<struct<start:int,stop:int,words:int,kept_in:bigint>>, kept_text string"
+
+
+def rank_of(doc_id: Column, h1: Column, code: Column) -> Column:
+    """One fixed-width number in the order of ids (none: last), then of texts' hashes, then of places."""
+    big = lambda n, p: F.lit(str(n)).cast(f"decimal({p},0)")
+    of = F.coalesce(doc_id.cast("decimal(20,0)") + big(2**63, 19), big(2**64, 20)).cast("decimal(20,0)")
+    within = F.pmod(h1, F.lit(2**30)) * F.lit(2**31) + code
+    return (of * big(2**61, 19)).cast("decimal(38,0)") + within.cast("decimal(20,0)")
+
+
+def drop_repeated_passages(docs: DataFrame, min_words: int = 30, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """For each row of ``docs``: ``doc_id, removed, kept_text``.
+
+    Units are lines, cut after ``.!?;,`` as well, so that a passage in the middle of a line is seen. A unit and the one after
+    it count as repeated when the same two (A-Z in lower case, white space runs as one blank) followed each other before, in the order of ids and then of
+    places. Runs of repeated neighbours that have ``min_words`` words together, and single units of that length that occurred before, are removed;
+    all else stays. ``removed`` has for each run its span of code points in the original text, its words, and the id of the document
+    that keeps its beginning.
+
+    *Plan.* One pass leaves digests, no text. A hash aggregate counts each digest and finds its
+    least rank, a fixed-width number, before and after the shuffle, so a passage that fills a third of all documents is one row for each split. Repeated
+    digests are kept as a table of their own, so that the join which brings them back has a shuffle on either side and can be split
+    at a hot digest. They go back to their row by id and 128 bits of its text, and the row's text is cut.
+
+    *Cases.* Null or empty text: empty, nothing removed. Empty table: no rows. Ids must be integers. Rows with the same id and other texts
+    are told apart by their text and ranked by its hash; rows with the same id and text have the same ranks, so none of them removes the other and both get the same
+    result. Null ids come after all others, ranked by text. Very long lines are cut like others, or one unit. Other columns are ignored.
     """
-    found = cut(units(docs.filter(F.col(key).isNotNull()), min_words, text, key))
-    rank = F.col("doc_id").cast("decimal(20,0)") * F.lit(str(PLACES)).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
-    found = found.withColumn("rank", rank)
-    first = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("least")).filter("n > 1")
-    first = cut(first.select("a", "b", "least"))
-    goes = found.join(first, ["a", "b"]).filter(F.col("rank") > F.col("least"))
-    keeper = F.floor(F.col("least") / F.lit(str(PLACES)).cast("decimal(11,0)")).cast("long")
-    span = F.struct("pos", "start", "stop", keeper.alias("kept_in"))
-    goes = goes.groupBy("doc_id").agg(F.array_sort(F.collect_set(span)).alias("removed")).withColumnRenamed("doc_id", "d")
-    rows = docs.select(F.col(key).alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("lines"))
-    out = rows.join(goes, F.col("doc_id") == F.col("d"), "left")
-    removed = F.coalesce("removed", F.array().cast("array<struct<pos:int,start:int,stop:int,kept_in:bigint>>"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed.pos"))
-    out = out.withColumn("removed", removed)
-    return out.select("doc_id", "lines", "removed", F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n").alias("kept_text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text"))
+    found = cut(marks(rows, min_words)).withColumn("rank", rank_of(F.col("doc_id"), F.col("h1"), F.col("code")))
+    first = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("least"), F.min("doc_id").alias("kept_in")).filter("n > 1")
+    first = cut(first.select("a", "b", "least", "kept_in"))
+    again = found.join(first, ["a", "b"]).filter(F.col("rank") > F.col("least"))
+    again = again.groupBy(*[F.col(c).alias(f"_{c}") for c in _KEYS]).agg(F.collect_set(F.struct("code", "kept_in")).alias("again"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    batches, schema = _cleaned(min_words, "long")
+    return rows.join(again, same, "left").select("doc_id", "text", "again").mapInArrow(batches, schema)
