@@ -158,8 +158,7 @@ def test_passages_of_rows_without_an_id_or_with_the_same(spark):
     passage = ". ".join(f"passage {k} of some words that come again" for k in range(6)) + "."
     rows = [(None, f"one\n{passage}"), (None, f"two two\n{passage}"), (2, f"three\n{passage}"), (2, f"four\nfour\n{passage}"), (2, "own words of a third row")]
     got = drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 5 and sum(passage in r.kept_text for r in got) == 1
-    assert next(r.doc_id for r in got if passage in r.kept_text) == 2
+    assert len(got) == 5 and [r.doc_id for r in got if passage in r.kept_text] == [2, 2]  # one rank: both keep it
     assert sorted(r.kept_text.replace(passage, "") for r in got) == sorted(["one\n", "two two\n", "three\n", "four\nfour\n", "own words of a third row"])
 
 
