@@ -38,6 +38,27 @@ def planted():
     return [(i, t, "en", "s", len(t or "")) for i, t in enumerate(out)]
 
 
+def crowd():
+    """Many edits of one text that isn't there: alike, most of them under 0.8, in groups that share an edit, some of them near."""
+    r = random.Random(9)
+    base, out = words(r, 60, 9999).split(), []
+    for k in range(150):
+        edit = list(base)
+        edit[5 + k % 5 * 10] = f"group{k % 5}"
+        for _ in range(1 + k % 3):
+            edit[r.randrange(60)] = f"own{r.randrange(9999)}"
+        out.append(" ".join(edit))
+    return [(i, t, "en", "s", len(t)) for i, t in enumerate(out)]
+
+
+def test_a_crowd_under_the_limit(spark):
+    rows = crowd()
+    want = brute_near(rows)
+    assert 10 < len(set(want.values())) < 140
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert {r.doc_id: r.component_id for r in near_groups(docs).collect()} == want
+
+
 def test_planted_near_copies_go(spark):
     rows = planted()
     want = brute_near(rows)

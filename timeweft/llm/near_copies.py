@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,14 @@ from .simhash import SHIFT, simhash_groups
 NUMER, DENOM = 4, 5
 #: Shingles of the prefixes that near copies share at least (fewer for tiny texts).
 SHARED = 3
-#: Keys with more rows than this meet by way of one row first.
+#: Rows of a key up to this many are paired; those of a larger one meet by way of a centre.
 FEW = 16
+#: Near copies' sizes differ by this factor at most.
+BAND = math.log(DENOM / NUMER)
 #: Shingles that are put last in the order because many texts have them; the choice changes the cost only.
 HOT, SAMPLE = 1 << 16, 8
+#: Bits of a sketch; shingles in a block.
+SKETCH, CELLS = 1024, 1 << 18
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -44,17 +49,20 @@ def least_shared(n: int) -> int:
     return -(-NUMER * n // DENOM)
 
 
-def prefix(own: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first of the shingles, by hash, the hot ones last: near copies share ``SHARED`` of these."""
-    if len(hot):
-        late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
-        own = np.concatenate([own[~late], own[late]])
+def held(own: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``own`` are in the sorted array ``some``."""
+    return some[np.minimum(np.searchsorted(some, own), len(some) - 1)] == own if len(some) else np.zeros(len(own), bool)
+
+
+def prefix(own: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first of the shingles, by hash, the hot ones last (near copies share ``SHARED`` of these), and how many aren't hot."""
+    late = held(own, hot)
     need = least_shared(len(own))
-    return own[: len(own) - need + min(SHARED, need)]
+    return np.concatenate([own[~late], own[late]])[: len(own) - need + min(SHARED, need)], int((~late).sum())
 
 
 def prefixes(rows: DataFrame, hot: np.ndarray, words: int) -> DataFrame:
-    """``key, id, n``: each row's prefix, with the number of its shingles. ``rows``: ``id, text``."""
+    """``key, id, n, r``: each row's prefix, with the number of its shingles and of those that aren't hot. ``rows``: ``id, text``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in it:
@@ -62,13 +70,12 @@ def prefixes(rows: DataFrame, hot: np.ndarray, words: int) -> DataFrame:
                 b = big.slice(start, 512)
                 sets = [shingles(t, words) for t in b.column(1).to_pylist()]
                 keys = [prefix(s, hot) for s in sets]
-                each = [len(k) for k in keys]
-                flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-                of = np.repeat(np.arange(len(sets)), each)
-                n = np.array([len(s) for s in sets], np.int32)[of] if sets else np.empty(0, np.int32)
-                yield pa.record_batch([pa.array(flat), b.column(0).take(pa.array(of)), pa.array(n)], names=["key", "id", "n"])
+                of = np.repeat(np.arange(len(sets)), [len(k) for k, _ in keys])
+                flat = np.concatenate([k for k, _ in keys]).view(np.int64) if keys else np.empty(0, np.int64)
+                n, r = (np.array(x, np.int32)[of] if sets else np.empty(0, np.int32) for x in ([len(s) for s in sets], [r for _, r in keys]))
+                yield pa.record_batch([pa.array(flat), b.column(0).take(pa.array(of)), pa.array(n), pa.array(r)], names=["key", "id", "n", "r"])
 
-    return rows.mapInArrow(batches, f"key long, id {rows.schema['id'].dataType.simpleString()}, n int")
+    return rows.mapInArrow(batches, f"key long, id {rows.schema['id'].dataType.simpleString()}, n int, r int")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
@@ -90,51 +97,128 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(batches, f"src {kind}, dst {kind}").distinct()
 
 
+def _blocks(table: pa.Table) -> pa.Table:
+    """Links of one pair of blocks, a forest: rows of the one side against those of the other, where roots differ. Sets of 64-bit shingles decide;
+    before that a parity sketch, which can't differ in more bits than the sets in shingles."""
+    ids, roots, first = table["id"].to_pylist(), table["root"].to_pylist(), np.array(table["first"].to_pylist(), bool)
+    sets = [np.frombuffer(x, np.uint64) for x in table["own"].to_pylist()]
+    n = np.array([len(x) for x in sets])
+    sketch = np.array([np.packbits(np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1) for x in sets], np.uint8).reshape(len(sets), -1).view(np.uint64)
+    number = {x: i for i, x in enumerate(dict.fromkeys(roots))}
+    part = np.array([number[x] for x in roots])
+    other = np.flatnonzero(~first)
+    src, dst = [], []
+    for i in np.flatnonzero(first):
+        least = np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64)
+        for j in other[(least * (NUMER + DENOM) <= (n[other] + n[i]) * (DENOM - NUMER)) & (part[other] != part[i])]:
+            if part[i] != part[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both * DENOM >= NUMER * (n[i] + n[j] - both):
+                    src.append(ids[i]), dst.append(ids[j])
+                    part[part == part[j]] = part[i]
+    kind = table.schema.field("id").type
+    return pa.table({"src": pa.array(src, kind), "dst": pa.array(dst, kind)})
+
+
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """``id, own``: the sorted shingles of ``id, text`` as bytes."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in it:
+            for start in range(0, big.num_rows, 512):
+                b = big.slice(start, 512)
+                yield pa.record_batch([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "own"])
+
+    return rows.mapInArrow(batches, f"id {rows.schema['id'].dataType.simpleString()}, own binary")
+
+
+def crowded(groups: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """``src, dst``: links inside the groups (``centre, id, n, root, home``: the centre's root) of several components.
+
+    Rows outside the centre's component are compared with all of their group, in pairs of blocks of about ``CELLS`` shingles; rows inside it aren't
+    compared with each other, so where a centre has caught nearly all of its group, the cost is linear.
+    """
+    away = F.col("root") != F.col("home")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(CELLS))).cast("int")
+    size = groups.groupBy("centre").agg(F.sum(F.when(away, F.col("n"))).alias("u"), F.sum("n").alias("v")).filter("u is not null")
+    size = size.select("centre", blocks(F.col("u")).alias("u"), blocks(F.col("v")).alias("v"))
+    held_ = written(groups.join(size, "centre"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = held_.filter(away).select("centre", "id", "root", F.lit(True).alias("first"), deal("u").alias("x"), all_("v").alias("y"))
+    two = held_.select("centre", "id", "root", F.lit(False).alias("first"), all_("u").alias("x"), deal("v").alias("y"))
+    sets = shingle_sets(rows.join(held_.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi"), words)
+    met = one.union(two).join(sets, "id").select("centre", "x", "y", "id", "root", "first", "own")
+    kind = rows.schema["id"].dataType.simpleString()
+    return met.groupBy("centre", "x", "y").applyInArrow(_blocks, f"src {kind}, dst {kind}").distinct()
+
+
 def alike(n: str, m: str) -> Column:
     """Whether sets of these sizes can share enough."""
     return (F.least(n, m) * DENOM) >= (F.greatest(n, m) * NUMER)
 
 
-def shingle_links(docs: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``src, dst``: links that join the same ids as all pairs with a Jaccard similarity of 0.8 or more would.
+def paired(rows: DataFrame) -> DataFrame:
+    """``a, b, n, m`` for the rows of each key, which are few: each two whose sizes are alike."""
+    both = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("rows"))
+    both = both.select(F.explode("rows").alias("x"), "rows").select("x", F.explode("rows").alias("y")).filter("x.id < y.id")
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).filter(alike("n", "m"))
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after ``links`` (``src, dst``) as well."""
+    ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(roots, F.col("id") == F.col("node"), "left_anti")
+    roots = cut(roots.union(ends.select("id", "id")))
+    edges = links
+    for c in ("src", "dst"):
+        edges = edges.join(roots.toDF("_n", "_r"), F.col(c) == F.col("_n")).drop(c, "_n").withColumnRenamed("_r", c)
+    more = components(edges.filter("src <> dst").select("src", "dst")).toDF("_n", "_r")
+    return cut(roots.join(more, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")))
+
+
+def near_roots(docs: DataFrame, edges: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``node, root``: the components of ``edges`` (``src, dst``) and of all pairs with a Jaccard similarity of 0.8 or more.
 
     *Plan.* In any one order of all shingles, near copies share three of their first (a fifth of each text's, and three), so only those are
     keys. The order puts hot shingles, found in a sample of the texts, last; which they are changes the cost, not the result. Rows
-    of a key with few rows are paired, and pairs that share three keys have their texts compared. Rows of a larger key are compared with its least
-    id first; then all its rows that this leaves in different components are paired as well.
+    of a key with few rows are paired, and pairs that share three keys have their texts compared.
+
+    Larger keys, cut by size into overlapping bands, are never paired. Each has a centre, the row with the fewest shingles that aren't hot, and all its rows are
+    compared with that one. Where this leaves several components, rows outside the centre's are compared with all rows of
+    the centre in bounded blocks, which give a forest each.
     """
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     some = prefixes(rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), np.empty(0, np.uint64), words)
     some = some.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(f"c >= {FEW // 4}").orderBy(F.desc("c"), "key").limit(HOT)
     hot = np.sort(np.array([r.key for r in some.collect()], np.int64).view(np.uint64))
     keys = written(prefixes(rows, hot, words))
-    counts = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("m")).filter("c > 1"))
+    counts = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     shared = written(keys.join(counts, "key"))
 
-    few = shared.filter(F.col("c") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("rows"))
-    few = few.select(F.explode("rows").alias("x"), "rows").select("x", F.explode("rows").alias("y")).filter("x.id < y.id")
-    few = few.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).filter(alike("n", "m"))
+    few = paired(shared.filter(F.col("c") <= FEW))
     need = F.least(F.lit(SHARED), F.ceil(F.least("n", "m") * NUMER / DENOM))
     few = few.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(need).alias("need")).filter("c >= need").select("a", "b")
+    kind = rows.schema["id"].dataType.simpleString()
+    roots = joined(docs.sparkSession.createDataFrame([], f"node {kind}, root {kind}"), cut(edges.union(verified(few, rows, words))))
 
-    many = shared.filter(F.col("c") > FEW)
-    star = many.filter((F.col("id") != F.col("m.id")) & alike("n", "m.n")).select(F.col("m.id").alias("a"), F.col("id").alias("b")).distinct()
-    near = cut(verified(few.union(star).distinct(), rows, words))
-    roots = components(near)
-    named = many.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    x = written(named.join(apart, "key"))
-    y = x.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = x.withColumnRenamed("id", "a").join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & alike("n", "m"))
-    return near.union(verified(rest.select("a", "b").distinct(), rows, words))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(BAND))
+    bands = F.array(*[F.xxhash64("key", band + i) for i in (0, 1)])
+    many = shared.filter(F.col("c") > FEW).select(F.explode(bands).alias("key"), "id", "n", "r")
+    centres = many.groupBy("key").agg(F.min(F.struct("r", "id")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("_k"), F.col("m.id").alias("centre"))
+    groups = written(many.join(centres, F.col("key") == F.col("_k")).select("centre", "id", "n").distinct())
+    star = groups.filter(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    roots = joined(roots, cut(verified(star, rows, words)))
+    for of, name in (("id", "root"), ("centre", "home")):
+        groups = groups.join(roots.toDF("_n", "_r"), F.col(of) == F.col("_n"), "left").withColumn(name, F.coalesce("_r", of)).drop("_n", "_r")
+    return joined(roots, cut(crowded(written(groups), rows, words)))
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, component_id`` for each row of ``docs``: the smallest id that links of SimHash (three words, two bits) or of five-word shingles lead to.
 
-    *Cases.* Those of ``simhash_groups``. Texts without words share no shingles, but their fingerprint. Null ids: SimHash's component.
+    *Cases.* Those of ``simhash_groups``. Texts without words share no shingles, but their fingerprint. Rows with the same id are one text's links: both go where either leads. Null ids: SimHash's component.
     """
     by = cut(simhash_groups(docs, text=text, key=key).select("doc_id", "component_id"))
     edges = by.filter("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))
-    roots = components(edges.union(shingle_links(docs, text=text, key=key)))
+    roots = near_roots(docs, edges, text=text, key=key)
     return by.join(roots, F.col("component_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
