@@ -138,6 +138,45 @@ def test_priors_decide_where_the_text_is_silent(spark):
     assert kept >= {r[0] for r in rows[:80]} and 1001 not in kept
 
 
+def brute_language(rows, model, temper=0.3, strength=5.0):
+    """The formula of ``identify`` row by row, with plain sums over all other rows."""
+    langs = [*model.languages, "und"]
+    n = len(langs)
+    soft = lambda v: (np.exp(v - v.max()) / np.exp(v - v.max()).sum())
+    at = []
+    for _, text, declared, host in rows:
+        scores, count = model.scores(text)
+        labels = (host or "").split(".")
+        parts = {"declared": declared.lower() if declared else None, "host": host, "suffix": labels[-1] if len(labels) > 1 else None, "domain": ".".join(labels[-2:]) if len(labels) > 1 else None}
+        at.append((scores * temper if count > 1 else np.zeros(n), soft(scores * temper) if count > 1 else np.zeros(n), parts))
+    every = sum((s for _, s, _ in at), np.zeros(n))
+    out = []
+    for score, own, parts in at:
+        rest = lambda c: np.maximum(sum((s for _, s, p in at if p[c] == parts[c] and p[c] is not None), np.zeros(n)) - (own if parts[c] is not None else 0), 0)  # noqa: E731,B023
+        smooth = lambda held, prior: (held + prior * strength) / (held.sum() + strength)
+        prior = smooth(rest("host"), smooth(rest("domain"), smooth(every, np.full(n, 1 / n))))
+        total = score + np.log(np.maximum(prior, 1e-12))
+        others = np.maximum(every - own, 0)
+        for c in ("declared", "suffix"):
+            if parts[c] is not None:
+                held = rest(c)
+                share = max(held.sum() / max(1e-9, others.sum()), 1e-9)
+                total = total + np.log(np.maximum((held + share * strength) / (others + strength), 1e-12))
+        post = soft(total)
+        out.append((langs[int(post.argmax())], float(post.max())))
+    return out
+
+
+def test_language_agrees_with_the_formula(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(40).collect()
+    model = L.fit(spark.read.parquet(f"{data}/documents.parquet"))
+    hosts = ["a.example.fr", "b.example.fr", "example.de", "local", None]
+    rows = [(r.doc_id, [r.text[:60], "12", None, "zz qq"][i % 4], [r.lang, None, "xx"][i % 3], hosts[i % 5]) for i, r in enumerate(docs)]
+    got = {r.id: r for r in L.identify(spark.createDataFrame(rows, "id long, text string, declared string, host string"), model).collect()}
+    for row, (language, confidence) in zip(rows, brute_language(rows, model), strict=True):
+        assert got[row[0]].language == language and abs(got[row[0]].confidence - confidence) < 1e-9
+
+
 def test_language_cases(docs, clashing, empty, repeated):
     model = L.fit(docs)
     assert L.keep_known(empty, model).count() == 0 and L.fit(empty).languages == ()

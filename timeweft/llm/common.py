@@ -97,3 +97,9 @@ def ranked(df: DataFrame, by: list[Column], within: list[str], weight: str | Non
     out = a.join(b, same).withColumn(rank, F.col("a._n") - 1 + F.col("b._n0"))
     keep = [F.col(f"a.{c}").alias(c) for c in df.columns]
     return out.select(*keep, rank, *([(F.col("a._w") + F.col("b._w0")).alias(before)] if weight else []))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by the file system that the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

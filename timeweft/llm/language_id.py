@@ -53,19 +53,36 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = 2000, smoothing: float = 0.05) -> TextModel:
-    """A model from about ``rows`` labelled rows, twice that at most: those whose id's hash is under a bound that their number sets.
+    """A model from ``rows`` labelled rows (and their exact repeats): those with the least hashes of id and text.
 
-    The bound is the one sample here; rows without a label don't count. Only sampled rows reach the driver.
+    That number is the one bound on a sample here; rows without a label or a text don't count. Workers count the trigrams of whole texts; the driver gets the sums,
+    one number at most for each language and bucket. Empty table: a model without languages.
     """
-    named = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("l"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(2**40)).alias("h"))
-    share = min(1.0, rows / max(1, named.count()))
-    few = named.filter(F.col("h") < int(share * 2**40)).limit(2 * rows).select("l", "t").collect()
-    languages = tuple(sorted({r["l"] for r in few}))
+    full = F.coalesce(F.col(text), F.lit(""))
+    named = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("l"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.lit("fit"), key, full), F.lit(2**40)).alias("h"))
+    share = int(min(1.0, 4 * rows / max(1, named.count())) * 2**40)  # a first cut, so that few hashes are sorted
+    some = named.filter(F.col("h") < share)
+    last = some.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    few = some.filter(F.col("h") <= F.lit(-1 if last is None else last)).select("l", "t")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for b in it:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = counts.setdefault(name, np.zeros(BUCKETS, np.int64))
+                for codes in trigrams(text):
+                    own += np.bincount(codes, minlength=BUCKETS)
+        for name, own in counts.items():
+            at = np.flatnonzero(own)
+            yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], names=["l", "at", "n"])
+
+    sums = few.mapInArrow(batches, "l string, at int, n long").groupBy("l", "at").agg(F.sum("n").alias("n")).toPandas()
+    languages = tuple(sorted(set(sums["l"])))
     counts = np.full((len(languages) + 1, BUCKETS), smoothing)
     counts[-1] = 1.0
-    for r in few:
-        for codes in trigrams(r["t"]):
-            counts[languages.index(r["l"])] += np.bincount(codes, minlength=BUCKETS)
+    for i, name in enumerate(languages):
+        own = sums[sums["l"] == name]
+        counts[i, own["at"].to_numpy()] += own["n"].to_numpy()
     return TextModel(languages, np.log(counts / counts.sum(1, keepdims=True)))
 
 
@@ -95,7 +112,7 @@ def identify(rows: DataFrame, model: TextModel, parse=parse_plain, temper: float
     neighbouring trigrams aren't independent), that of its declared language and address suffix
     (the last label of the host's name) given the language, and a host prior. The tables of the last three are
     sums of the text posteriors over all rows, by grouped aggregation: hosts are smoothed by their domain, domains by
-    the whole (``strength`` rows' worth each). A row's own posterior is taken out of its host's and domain's counts, so no evidence counts twice.
+    the whole (``strength`` rows' worth each). A row's own posterior is taken out of the counts that it meets, so no evidence counts twice.
 
     *Plan.* One pass parses and scores whole texts and leaves a narrow table; the aggregates hold one number for
     each language, so they combine before the shuffle. They are written as tables, so a join back broadcasts one whose size allows it
@@ -149,11 +166,14 @@ def identify(rows: DataFrame, model: TextModel, parse=parse_plain, temper: float
     whole = smoothed(everywhere, F.array(*[F.lit(1.0 / n)] * n))
     prior = smoothed(less_own("n_host"), smoothed(less_own("n_domain"), whole))
 
+    others = F.zip_with(everywhere, F.col("soft"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    every = F.aggregate(others, F.lit(0.0), lambda a, b: a + b)
+
     def given(c: str) -> Column:
-        """P(value | language), smoothed towards the value's share of all rows."""
-        share = F.aggregate(F.coalesce(c, none), F.lit(0.0), lambda a, b: a + b) / F.greatest(F.lit(1e-9), F.aggregate(everywhere, F.lit(0.0), lambda a, b: a + b))
-        share = F.greatest(share, F.lit(1e-9))
-        table = F.zip_with(F.coalesce(c, none), everywhere, lambda a, b: (a + share * F.lit(strength)) / (b + F.lit(strength)))
+        """P(value | language) in all other rows, smoothed towards the value's share of them."""
+        held = less_own(c)
+        share = F.greatest(F.aggregate(held, F.lit(0.0), lambda a, b: a + b) / F.greatest(F.lit(1e-9), every), F.lit(1e-9))
+        table = F.zip_with(held, others, lambda a, b: (a + share * F.lit(strength)) / (b + F.lit(strength)))
         return F.transform(table, lambda p: F.log(F.greatest(p, F.lit(1e-12))))
 
     total = F.when(F.col("letters"), F.transform("score", lambda s: s * F.lit(temper))).otherwise(none)

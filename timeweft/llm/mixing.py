@@ -7,11 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, ranked
+from .common import WORD, cut, ranked, text_key
 
 EPS = 1e-9
-#: Documents that a group leaves undecided at most: the last by id, and the one that pivoting left. The last group of a
-#: source so has documents of all sizes, among which the words of a large one can be shared.
+#: Documents that a group leaves undecided, its smallest open ones; they meet those of other groups.
 LEAVE = 16
 
 
@@ -39,60 +38,33 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return src.select("source", "sid", "n_docs", "source_size", F.least("top", F.col("w") * F.lit(level)).alias("target"))
 
 
-def pivot(p: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rounds all but at most one of the probabilities ``p`` to 0 or 1 and keeps ``sum(p * mass)`` as it is.
+def pivot(p: np.ndarray, mass: np.ndarray, rng: np.random.Generator, leave: int = 0) -> np.ndarray:
+    """Rounds all but ``leave`` of the probabilities ``p`` to 0 or 1; no expectation changes.
 
-    Two open items at a time: words move from one to the other, either way with the odds that
-    leave each expectation unchanged, until one of them is decided.
-    """
-    p, coins, held = p.tolist(), rng.random(len(p)).tolist(), -1
-    mass = mass.tolist()
-    for j in range(len(p)):
-        if p[j] <= EPS or p[j] >= 1 - EPS:
-            p[j] = float(round(p[j]))
-            continue
-        if held < 0:
-            held = j
-            continue
-        i, a, b = held, mass[held], mass[j]
-        up = min((1 - p[i]) * a, p[j] * b)  # words that can go from j to i
-        down = min(p[i] * a, (1 - p[j]) * b)  # and from i to j
-        moved = up if coins[j] * (up + down) < down else -down
-        p[i] += moved / a
-        p[j] -= moved / b
-        still = [k for k in (i, j) if EPS < p[k] < 1 - EPS]
-        for k in (i, j):
-            if k not in still:
-                p[k] = float(round(p[k]))
-        held = still[0] if still else -1
-    return np.array(p)
-
-
-def settle_all(p: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rounds every probability; the sum of ``p * mass`` changes by about the smallest masses only.
-
-    From the largest item down, a coin decides the item and the words that it gained or lost
-    are shared among the smaller ones. Where those have room for one outcome only, that one is
-    taken; where for none (the very last), the nearer.
+    The largest open item is paired with a mixture of all smaller ones: a step moves words from one side to the other, the mixture's shares
+    the same either way, with the odds that leave expectations unchanged, until one item is decided. So ``sum(p * mass)`` stays as it is. Only without
+    ``leave`` the last item, the smallest if the rest had room for the larger ones, takes its own coin.
     """
     order = np.argsort(-mass, kind="stable")
     q, m = p[order].copy(), mass[order].astype(float)
-    q[(q <= EPS) | (q >= 1 - EPS)] = np.round(q[(q <= EPS) | (q >= 1 - EPS)])
-    coins = rng.random(len(q))
     for i in range(len(q)):
-        if not 0 < q[i] < 1:
-            continue
-        rest, own = slice(i + 1, None), m[i]
-        room = np.where((q[rest] > 0) & (q[rest] < 1), m[rest], 0.0)
-        up, down = float(((1 - q[rest]) * room).sum()), float((q[rest] * room).sum())
-        may_go, may_stay = q[i] * own <= up, (1 - q[i]) * own <= down
-        taken = bool(coins[i] < q[i]) if may_go and may_stay else may_stay if may_go or may_stay else bool(q[i] >= 0.5)
-        moved = -min((1 - q[i]) * own, down) if taken else min(q[i] * own, up)
-        share = np.where(room > 0, q[rest], 0.0) / down if moved < 0 else np.where(room > 0, 1 - q[rest], 0.0) / up if moved > 0 else 0.0
-        q[rest] = np.clip(q[rest] + share * moved, 0.0, 1.0)
-        q[i] = float(taken)
+        while EPS < q[i] < 1 - EPS:
+            k = i + 1 + np.flatnonzero((q[i + 1 :] > EPS) & (q[i + 1 :] < 1 - EPS))
+            if len(k) < max(1, leave):
+                break
+            own, held = q[k], m[k]
+            share = held * own * (1 - own)
+            share /= share.sum()
+            up = min((1 - q[i]) * m[i], (own * held / share).min())  # words that can go from the mixture to i
+            down = min(q[i] * m[i], ((1 - own) * held / share).min())  # and from i to the mixture
+            moved = up if rng.random() * (up + down) < down else -down
+            q[i] += moved / m[i]
+            q[k] = np.clip(own - moved * share / held, 0.0, 1.0)
+        if not leave and EPS < q[i] < 1 - EPS:
+            q[i] = float(rng.random() < q[i])
+    closed = (q <= EPS) | (q >= 1 - EPS)
     out = np.empty_like(q)
-    out[order] = q
+    out[order] = np.where(closed, np.round(q), q)
     return out
 
 
@@ -100,20 +72,18 @@ def _settle(seed: int, level: int, fan_in: int):
     """Pivots one group; what it draws depends on the seed, the level and the group only. A source's last group is rounded in full."""
 
     def settle(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("h1", "ascending"), ("h2", "ascending")])
         at = [seed, level, table["sid"][0].as_py(), table["bucket"][0].as_py()]
         p, mass, rng = table["p"].to_numpy().copy(), table["size"].to_numpy(), np.random.default_rng(at)
-        if table["n_docs"][0].as_py() <= fan_in * (fan_in // LEAVE) ** level:
-            p = settle_all(p, mass, rng)
-        else:
-            p[: 1 - LEAVE] = pivot(p[: 1 - LEAVE], mass[: 1 - LEAVE], rng)
+        last = table["n_docs"][0].as_py() <= fan_in * (fan_in // LEAVE) ** level
+        p = pivot(p, mass, rng, 0 if last else LEAVE)
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return settle
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, fan_in: int = 128, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
+    """One row for each row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken, h1, h2`` (the text's hash).
 
     A document should be taken target / source_size times (at most ``most``): the whole part
     for sure, the fraction by pivotal dependent rounding in words, so that a source's taken
@@ -122,14 +92,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
 
     *Plan.* One pass over the texts leaves ids, sources and sizes. Documents of a source are
     hashed into groups of about ``fan_in``; each leaves at most ``LEAVE`` undecided documents, and
-    those meet ``fan_in / LEAVE`` groups at a time, level by level. A source's last group is rounded
-    in full, large documents first. A group holds about ``fan_in`` rows, however hot its source.
+    those meet ``fan_in / LEAVE`` groups at a time, level by level. In a source's last group all are decided. Every document's expected copies are target / source_size. A group holds about ``fan_in`` rows, however hot its source.
 
     *Cases.* Null text: size 0; documents of size 0 take copies by their own coin and no words.
     A null source is a source of its own. A source of size 0 has target 0 and no copies. Empty table:
     no rows. Repeated rows: rounded apart, each within the limits. Other columns are ignored.
     """
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *text_key(F.col(text)))
     sized = cut(sized)
     src = cut(source_targets(sized, weights, most))
     a, b = sized.alias("a"), src.alias("b")
@@ -153,16 +122,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     for more in decided[1:]:
         out = out.unionByName(more)
     copies = (F.col("base") + F.col("p")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h1", "h2")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it.
 
-    Rows with the same id and source take the same number of copies (the least that the mix gave one of them).
+    *Cases.* Those of ``mix``; documents that it takes no copy of go. Rows of one id with other texts or sources take their own copies; rows with the same id, source and text
+    take the least that the mix gave one of them. Null ids are told apart by source and text.
     """
-    source = options.get("source", "source")
-    taken = mix(docs, key=key, **options).groupBy("doc_id", "source").agg(F.min("copies").cast("int").alias("copies"))
-    taken = taken.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
-    joined = docs.join(taken.hint("shuffle_hash"), docs[key].eqNullSafe(taken["_id"]) & docs[source].eqNullSafe(taken["_source"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["copies"])).alias("__copy")).drop("__copy")
+    source, text = options.get("source", "source"), options.get("text", "text")
+    own = ["doc_id", "source", "h1", "h2"]
+    taken = mix(docs, key=key, **options).groupBy(*own).agg(F.min("copies").cast("int").alias("copies")).filter("copies > 0")
+    taken = taken.select(*[F.col(c).alias(f"_{c}") for c in own], F.col("copies").alias("_copies"))
+    same = docs[key].eqNullSafe(taken["_doc_id"]) & docs[source].eqNullSafe(taken["_source"])
+    for h, c in zip(text_key(docs[text]), ("_h1", "_h2"), strict=True):
+        same = same & (h == taken[c])
+    rows = docs.join(taken.hint("shuffle_hash"), same)
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["_copies"])).alias("__copy")).drop("__copy")
