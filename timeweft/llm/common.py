@@ -14,6 +14,17 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: What a worker keeps from task to task, of one owner at a time.
+_HELD: dict = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """The owner's own cache in this worker; what others left there goes, so reused workers don't add up what operators keep."""
+    for other in [k for k in _HELD if k != owner]:
+        del _HELD[other]
+    return _HELD.setdefault(owner, {})
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

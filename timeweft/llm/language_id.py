@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, worker_cache, written
 
 #: Hashed letter trigrams.
 BUCKETS = 1 << 15
@@ -66,6 +66,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     few = some.filter(F.col("h") <= F.lit(-1 if last is None else last)).select("l", "t")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language")
         counts: dict[str, np.ndarray] = {}
         for b in it:
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -126,6 +127,7 @@ def identify(rows: DataFrame, model: TextModel, parse=parse_plain, temper: float
     n = len(langs)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language")
         for b in (big.slice(i, BATCH) for big in it for i in range(0, big.num_rows, BATCH)):
             out = []
             for text, declared, host in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):

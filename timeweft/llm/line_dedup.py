@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, cut
+from .common import WHITE, ascii_lower, cut, text_key
 
 
 def line_key(line: Column) -> Column:
@@ -32,26 +32,28 @@ def drop_common_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
     lines that stay, in order.
 
     *Cases.* Null or empty text: one empty line, which stays. Empty table: no rows. Rows with
-    the same id are one document when documents are counted; each is reassembled in full. Very
-    long texts are one row of positions. Null ids rank below all others. Other columns of
-    ``docs`` are ignored.
+    the same id are one document when documents are counted, whatever their texts; each is reassembled by itself (id and 128 bits of its text tell rows
+    apart). Very long texts are one row of positions. Rows without an id are documents of their own (equal texts are one) and rank below
+    all others; a key that only such rows hold stays in all of them. Other columns of ``docs`` are ignored.
     """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    ids = docs.select(F.col(key).alias("doc_id"), lines.alias("lines"))
+    ids = docs.select(F.col(key).alias("doc_id"), *text_key(F.col(text)), lines.alias("lines"))
+    alone = F.when(F.col("doc_id").isNull(), F.col("h1")).alias("alone")
 
     def hashes(line: Column) -> Column:
         return F.struct(*(h.alias(n) for h, n in zip(line_hash(line), "ab", strict=True)))
 
     long = F.filter(F.transform("lines", line_key), lambda k: F.char_length(k) >= min_points)
-    own = ids.select("doc_id", F.explode(F.array_distinct(F.transform(long, hashes))).alias("h")).select("doc_id", "h.a", "h.b").distinct()
+    own = ids.select("doc_id", alone, F.explode(F.array_distinct(F.transform(long, hashes))).alias("h")).select("doc_id", "alone", "h.a", "h.b").distinct()
     common = own.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("stays")).filter(F.col("n") >= min_docs)
     common = cut(common.select("a", "b", "stays"))
-    placed = ids.select("doc_id", F.posexplode("lines").alias("at", "line")).withColumn("k", line_key(F.col("line"))).filter(F.char_length("k") >= min_points)
+    placed = ids.select("doc_id", "h1", "h2", F.posexplode("lines").alias("at", "line")).withColumn("k", line_key(F.col("line"))).filter(F.char_length("k") >= min_points)
     a, b = line_hash(F.col("k"))
-    placed = placed.select("doc_id", "at", a.alias("a"), b.alias("b"))
+    placed = placed.select("doc_id", "h1", "h2", "at", a.alias("a"), b.alias("b"))
     goes = placed.join(common, ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("stays")))
-    goes = goes.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at")).select(F.col("doc_id").alias("d"), "at")
-    out = ids.join(goes, F.col("doc_id").eqNullSafe(F.col("d")), "left").withColumn("dropped", F.coalesce("at", F.array().cast("array<int>")))
+    goes = goes.groupBy(F.col("doc_id").alias("d"), F.col("h1").alias("d1"), F.col("h2").alias("d2")).agg(F.array_sort(F.collect_set("at")).alias("at"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2"))
+    out = ids.join(goes, same, "left").withColumn("dropped", F.coalesce("at", F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
     text_kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     return out.select("doc_id", "lines", "dropped", text_kept.alias("kept_text"))

@@ -7,14 +7,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, worker_cache
 
 BLANK = "▁"
 #: A word's boundaries fill a 64-bit mask; longer words take the worker's fold.
@@ -217,24 +216,28 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
     return edges.select("word", F.expr(f"flatten(transform({ordered}, e -> e.ids))").alias("ids"))
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class Encoder(dict):
-    """Word -> ids: the broadcast words, and with the same rules worked out here those that are rarer."""
+    """Word -> ids, packed: the broadcast words, and with the same rules worked out here those that are rarer."""
 
-    def __init__(self, pieces: Pieces, words: list[str], ids: list):
+    def __init__(self, pieces: Pieces, words: list[str], ids: list[bytes]):
         super().__init__(zip(words, ids, strict=True))
         import regex
 
         self.pieces, self.known = pieces, len(self)
         self.any = regex.compile(pieces.words)
         self.ascii = re.compile(pieces.words.replace(r"\p{L}", "A-Za-z").replace("A-Za-z+", "[A-Za-z]+") if r"\p{L}" in pieces.words else pieces.words)
-        self.own: dict[str, list[int]] = {}
+        self.own: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         ids = self.own.get(word)
         if ids is None:
             if len(self.own) >= REMEMBERED:
                 self.own.clear()
-            ids = self.pieces.encode_word(word)
+            ids = packed(self.pieces.encode_word(word))
             if len(word) <= LONGEST:
                 self.own[word] = ids
         return ids
@@ -243,19 +246,21 @@ class Encoder(dict):
         if not text:
             return np.empty(0, np.int32)
         words = (self.ascii if text.isascii() else self.any).findall(BLANK + text.replace(" ", BLANK))
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
 
 
-_ENCODERS: dict = {}
+def _split(lists: pa.ListArray) -> list[bytes]:
+    flat, ends = lists.values.to_numpy(zero_copy_only=False).astype(np.int32), lists.offsets.to_numpy()
+    return [flat[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _encoder(shared, pieces_shared) -> Encoder:
     """One for each worker and broadcast; an earlier one goes."""
-    key = (shared.value["key"],)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(pieces_shared.value, shared.value["words"], shared.value["ids"])
-    return _ENCODERS[key]
+    held, key = worker_cache("encoder"), shared.value["key"]
+    if key not in held:
+        held.clear()
+        held[key] = Encoder(pieces_shared.value, shared.value["words"], shared.value["ids"])
+    return held[key]
 
 
 def encode(docs: DataFrame, pieces: Pieces, most_words: int = 1 << 18, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -274,7 +279,8 @@ def encode(docs: DataFrame, pieces: Pieces, most_words: int = 1 << 18, text: str
 
     sc = docs.sparkSession.sparkContext
     found = fold(lattice(frequent_words(docs, pieces, most_words, text), pieces), pieces).toArrow()
-    words = sc.broadcast({"key": uuid.uuid4().hex, "words": found["word"].to_pylist(), "ids": found["ids"].to_pylist()})
+    ids = [x for part in found["ids"].chunks for x in _split(part)]
+    words = sc.broadcast({"key": uuid.uuid4().hex, "words": found["word"].to_pylist(), "ids": ids})
     model = sc.broadcast(pieces)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,7 +66,7 @@ def capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (i < total % shards) for i in range(shards)]
 
 
-def reshard(blocks: DataFrame, shards: int, room: list[int] | None = None) -> DataFrame:
+def reshard(blocks: DataFrame, shards: int, room: list[int] | None = None, homes: dict[int, int] | None = None) -> DataFrame:
     """Adds ``shard`` to blocks with a unique ``unit``, ``size`` and ``old_shard`` (0 or more), by the law of bytes.
 
     ``room`` holds the new shards' capacities; equal shares of all bytes unless given. The flow
@@ -74,13 +74,14 @@ def reshard(blocks: DataFrame, shards: int, room: list[int] | None = None) -> Da
     fill those spans in order, the kept span first, so small blocks move. A block belongs to
     the span in which it begins, so a shard differs from its capacity by less than the blocks at its
     spans' ends. Spans are at most the number of old plus new shards; places come from
-    ``ranked``, which no hot shard can overload.
+    ``ranked``, which no hot shard can overload. ``homes`` says for each ``old_shard`` at which shard its bytes lie for nothing, if not at the one of that number.
     """
     olds = {r["old_shard"]: r["b"] for r in blocks.groupBy("old_shard").agg(F.sum("size").alias("b")).collect()}  # as many rows as shards
     supply = [int(olds.get(i) or 0) for i in range(max([*olds, -1]) + 1)]
     room = room or capacities(sum(supply), shards)
+    home = lambda i: i if homes is None else homes[i]
     spans, at = [], dict.fromkeys(olds, 0)
-    for old, new, size in sorted(min_cost_flow(supply, room), key=lambda f: (f[0], f[1] != f[0], f[1])):
+    for old, new, size in sorted(min_cost_flow(supply, room, lambda i, j: int(j != home(i))), key=lambda f: (f[0], f[1] != home(f[0]), f[1])):
         spans.append((old, at[old], at[old] + size, new))
         at[old] += size
     spans = blocks.sparkSession.createDataFrame(spans, "o int, low long, high long, shard int")
@@ -90,13 +91,13 @@ def reshard(blocks: DataFrame, shards: int, room: list[int] | None = None) -> Da
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, old_shards: int = 32, whole: float = 1 / 64, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, size, text_crc32, old_shard, shard, slot`` for each row of ``docs``.
+    """``doc_id, size, text_crc32, text_hash, old_shard, shard, slot`` for each row of ``docs``.
 
     The old layout is that of a content hash over ``old_shards``, which puts equal texts
     together; the new one has ``shards`` of equal bytes. A block is a group of equal texts,
     which moves as one, unless it is larger than ``whole`` of a shard: then its rows are blocks
     of their own. (At most ``shards / whole`` groups are that large, so their list may be
-    broadcast.) A first flow solves the transfers; a second one, from its result, evens out what
+    broadcast.) A first flow solves the transfers; a second one, from its spans and with the old layout's costs, evens out what
     the blocks at the spans' ends left, moving the smallest blocks. ``slot`` counts a shard's
     rows from 0 in the order of ids. A row's size is the UTF-8 bytes of its text plus 16.
 
@@ -118,17 +119,26 @@ def shard_documents(docs: DataFrame, shards: int = 40, old_shards: int = 32, who
     rows = rows.withColumn("unit", F.when(F.col("_large").isNull(), F.col("_group")).otherwise(F.xxhash64(F.lit("row"), "doc_id", "_group")))
     blocks = cut(rows.groupBy("unit", "old_shard").agg(F.sum("size").alias("size")))
     first = reshard(blocks, shards)
-    second = reshard(first.select("unit", "size", F.col("shard").alias("old_shard")), shards)
+    # The second flow starts from the spans of the first, each with the shard where its bytes have lain all along.
+    lain = sorted((r["shard"], r["old_shard"]) for r in first.select("shard", "old_shard").distinct().collect())  # at most old + new shards
+    number = F.element_at(F.create_map(*[F.lit(x) for i, (a, b) in enumerate(lain) for x in (a * old_shards + b, i)]), F.col("shard") * old_shards + F.col("old_shard")) if lain else F.lit(0)
+    homes = {i: b for i, (_, b) in enumerate(lain)}
+    second = reshard(first.select("unit", "size", number.cast("int").alias("old_shard")), shards, homes=homes)
     placed = rows.join(second.select(F.col("unit").alias("u"), "shard"), F.col("unit") == F.col("u"))
-    placed = placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", "unit")
+    placed = placed.select("doc_id", "size", "text_crc32", F.col("_group").alias("text_hash"), "old_shard", "shard", "unit")
     return ranked(placed, [F.col("shard"), F.col("doc_id"), F.col("unit")], ["shard"], rank="slot").drop("unit")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, column: str, only: list[int] | None = None) -> None:
-    """Writes ``docs`` as one folder ``{column}=N`` for each shard of ``placed``; with ``only``, those shards alone."""
-    own = placed.select(F.col("doc_id").alias("_id"), column)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, column: str, only: list[int] | None = None, text: str = "text", key: str = "doc_id") -> None:
+    """Writes ``docs`` as one folder ``{column}=N`` for each shard of ``placed``; with ``only``, those shards alone.
+
+    *Cases.* Rows are found by id and text (a null text is the empty one), so repeated rows and rows of one id with other texts are written as often as
+    they are there, each where it belongs. Null ids are ids. Empty table: no folders.
+    """
+    own = placed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), column).distinct()
     own = own.filter(F.col(column).isin(only)) if only is not None else own
-    docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").write.mode("append").partitionBy(column).parquet(path)
+    same = F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_hash"))
+    docs.join(own, same).drop("_id", "_hash").write.mode("append").partitionBy(column).parquet(path)
 
 
 def affected(placed: DataFrame) -> list[int]:
@@ -140,7 +150,7 @@ def affected(placed: DataFrame) -> list[int]:
 def rewrite(spark: SparkSession, old_path: str, new_path: str, placed: DataFrame, shards: int) -> list[int]:
     """From files under ``old_shard=N`` makes files under ``shard=N``; reads and writes the affected shards only.
 
-    Returns the shards that were not touched, whose old files go on serving.
+    Returns the shards that were not touched, whose old files go on serving. Cases: those of ``write_shards``.
     """
     touched = affected(placed)
     docs = spark.read.parquet(old_path).filter(F.col("old_shard").isin(touched)).drop("old_shard")
