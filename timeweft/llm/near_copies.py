@@ -24,7 +24,7 @@ FEW = 16
 BAND = math.log(DENOM / NUMER)
 #: Shingles that are put last in the order because many texts have them; the choice changes the cost only.
 HOT, SAMPLE = 1 << 16, 8
-#: Bits of a sketch; shingles in a block.
+#: Bits of a sketch at least; shingles in a block.
 SKETCH, CELLS = 1024, 1 << 18
 
 
@@ -97,20 +97,49 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(batches, f"src {kind}, dst {kind}").distinct()
 
 
-def _blocks(table: pa.Table) -> pa.Table:
-    """Links of one pair of blocks, a forest: rows of the one side against those of the other, where roots differ. Sets of 64-bit shingles decide;
-    before that a parity sketch, which can't differ in more bits than the sets in shingles."""
-    ids, roots, first = table["id"].to_pylist(), table["root"].to_pylist(), np.array(table["first"].to_pylist(), bool)
+def parity(own: np.ndarray) -> bytes:
+    """A bit for each residue of the shingles, by a power of two above twice their number: whether an odd number has it. Two sketches can't differ in more
+    bits than the sets in shingles; xor of its halves is the sketch of half the size."""
+    bits = max(SKETCH, 1 << int(2 * len(own)).bit_length())
+    return np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """The sketches at the size of the smallest."""
+    least, out = min(len(x) for x in sketches), []
+    for x in sketches:
+        while len(x) > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(x)
+    return np.array(out)
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """The rows of one pair of blocks that, by their sketches, can be near copies of a row of the other side with another root: ``centre, id``."""
+    number = {x: i for i, x in enumerate(dict.fromkeys(table["root"].to_pylist()))}
+    part, n = np.array([number[x] for x in table["root"].to_pylist()]), table["n"].to_numpy()
+    sketch = folded([np.frombuffer(x, np.uint64) for x in table["own"].to_pylist()])
+    other, found = np.flatnonzero(table["other"].to_numpy(zero_copy_only=False)), np.zeros(len(n), bool)
+    for i in np.flatnonzero(table["first"].to_numpy(zero_copy_only=False)):
+        least = np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64)
+        near = other[(least * (NUMER + DENOM) <= (n[other] + n[i]) * (DENOM - NUMER)) & (part[other] != part[i])]
+        found[near] = True
+        found[i] |= len(near) > 0
+    return table.select(["centre", "id"]).filter(pa.array(found))
+
+
+def _forest(table: pa.Table) -> pa.Table:
+    """Links of one pair of blocks, a forest: rows of the one side against those of the other, where roots differ."""
+    ids, roots = table["id"].to_pylist(), table["root"].to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in table["own"].to_pylist()]
     n = np.array([len(x) for x in sets])
-    sketch = np.array([np.packbits(np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1) for x in sets], np.uint8).reshape(len(sets), -1).view(np.uint64)
     number = {x: i for i, x in enumerate(dict.fromkeys(roots))}
     part = np.array([number[x] for x in roots])
-    other = np.flatnonzero(~first)
+    other = np.flatnonzero(table["other"].to_numpy(zero_copy_only=False))
     src, dst = [], []
-    for i in np.flatnonzero(first):
-        least = np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64)
-        for j in other[(least * (NUMER + DENOM) <= (n[other] + n[i]) * (DENOM - NUMER)) & (part[other] != part[i])]:
+    for i in np.flatnonzero(table["first"].to_numpy(zero_copy_only=False)):
+        sizes = np.minimum(n[other], n[i]) * DENOM >= np.maximum(n[other], n[i]) * NUMER
+        for j in other[sizes & (part[other] != part[i])]:
             if part[i] != part[j]:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if both * DENOM >= NUMER * (n[i] + n[j] - both):
@@ -120,37 +149,46 @@ def _blocks(table: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(src, kind), "dst": pa.array(dst, kind)})
 
 
-def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """``id, own``: the sorted shingles of ``id, text`` as bytes."""
+def packed(rows: DataFrame, words: int, pack) -> DataFrame:
+    """``id, own``: of ``id, text``, what ``pack`` makes of the sorted shingles."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in it:
             for start in range(0, big.num_rows, 512):
                 b = big.slice(start, 512)
-                yield pa.record_batch([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "own"])
+                yield pa.record_batch([b.column(0), pa.array([pack(shingles(t, words)) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "own"])
 
     return rows.mapInArrow(batches, f"id {rows.schema['id'].dataType.simpleString()}, own binary")
 
 
-def crowded(groups: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """``src, dst``: links inside the groups (``centre, id, n, root, home``: the centre's root) of several components.
-
-    Rows outside the centre's component are compared with all of their group, in pairs of blocks of about ``CELLS`` shingles; rows inside it aren't
-    compared with each other, so where a centre has caught nearly all of its group, the cost is linear.
-    """
+def met(groups: DataFrame, rows: DataFrame, words: int, pack) -> DataFrame:
+    """``centre, x, y, id, n, root, first, other, own``: rows outside the centre's component, in blocks x, and all rows of a group, in blocks y of about ``CELLS`` shingles."""
     away = F.col("root") != F.col("home")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(CELLS))).cast("int")
     size = groups.groupBy("centre").agg(F.sum(F.when(away, F.col("n"))).alias("u"), F.sum("n").alias("v")).filter("u is not null")
     size = size.select("centre", blocks(F.col("u")).alias("u"), blocks(F.col("v")).alias("v"))
-    held_ = written(groups.join(size, "centre"))
+    dealt = groups.join(size, "centre")
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = held_.filter(away).select("centre", "id", "root", F.lit(True).alias("first"), deal("u").alias("x"), all_("v").alias("y"))
-    two = held_.select("centre", "id", "root", F.lit(False).alias("first"), all_("u").alias("x"), deal("v").alias("y"))
-    sets = shingle_sets(rows.join(held_.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi"), words)
-    met = one.union(two).join(sets, "id").select("centre", "x", "y", "id", "root", "first", "own")
+    yes, no = F.lit(True), F.lit(False)
+    one = dealt.filter(away).select("centre", "id", "n", "root", yes.alias("first"), no.alias("other"), deal("u").alias("x"), all_("v").alias("y"))
+    two = dealt.select("centre", "id", "n", "root", no.alias("first"), yes.alias("other"), all_("u").alias("x"), deal("v").alias("y"))
+    both = one.union(two).groupBy("centre", "x", "y", "id", "n", "root").agg(F.max("first").alias("first"), F.max("other").alias("other"))
+    sets = packed(rows.join(groups.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi"), words, pack)
+    return both.join(sets, "id").select("centre", "x", "y", "id", "n", "root", "first", "other", "own")
+
+
+def crowded(groups: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """``src, dst``: links inside the groups (``centre, id, n, root, home``: the centre's root) of several components.
+
+    Rows outside the centre's component are compared with all of their group, in pairs of blocks; rows inside it aren't
+    compared with each other, so where a centre has caught nearly all of its group, the cost is linear. Sketches come first; only rows that have a partner by
+    them are compared by their shingles.
+    """
     kind = rows.schema["id"].dataType.simpleString()
-    return met.groupBy("centre", "x", "y").applyInArrow(_blocks, f"src {kind}, dst {kind}").distinct()
+    some = met(groups, rows, words, parity).groupBy("centre", "x", "y").applyInArrow(_candidates, f"centre {kind}, id {kind}")
+    groups = written(groups.join(some.distinct(), ["centre", "id"]))
+    return met(groups, rows, words, lambda own: own.tobytes()).groupBy("centre", "x", "y").applyInArrow(_forest, f"src {kind}, dst {kind}").distinct()
 
 
 def alike(n: str, m: str) -> Column:
