@@ -196,16 +196,16 @@ def ds_retention_minmax(spark, sf):
     return S.time_min_max(user_series(spark, sf), 48 * HOUR)
 
 
-@registered(
-    _lttb_sql(
-        "s AS (SELECT 'all' AS key, epoch_us(ts) AS ts_us, value, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_type = 'click' AND user_id < 15)",
-        14,
-        half_open=True,
-    )
-)
+def _retention_lttb_sql(interval: int, most: int) -> str:
+    """The sampler once for each number of points that a span of up to ``most`` intervals gives."""
+    span = "(max(epoch_us(ts)) OVER (PARTITION BY user_id) - min(epoch_us(ts)) OVER (PARTITION BY user_id))"
+    series = f"{_PLACED[:-len(' FROM events)')]}, greatest(3, {span} // {interval} + 1) AS target FROM events QUALIFY target = {{n}})"
+    return " UNION ALL ".join(f"SELECT * FROM ({_lttb_sql(series.format(n=n), n, half_open=True)})" for n in range(3, most + 2))
+
+
+@registered(_retention_lttb_sql(48 * HOUR, 15))
 def ds_retention_lttb(spark, sf):
-    rows = read(spark, sf, "events").filter("event_type = 'click' and user_id < 15").select(F.lit("all").alias("key"), us("ts").alias("ts_us"), "value")
-    return S.lttb(rows, 14, half_open=True)
+    return S.time_lttb(user_series(spark, sf), 48 * HOUR)
 
 
 # Catalogue

@@ -15,14 +15,14 @@ USERS = (
     + """,
 u AS (SELECT user_id AS i, min(epoch_us(ts)) AS born FROM events GROUP BY 1),
 w AS (SELECT max(user_id) + 1 AS n, min(epoch_us(ts)) AS born FROM events),
-nodes AS (SELECT 'user_' || i AS id, 'user' AS type, born AS valid_from, CAST(NULL AS BIGINT) AS valid_to, false AS deleted, born AS ts_us FROM u),
+nodes AS MATERIALIZED (SELECT 'user_' || i AS id, 'user' AS type, born AS valid_from, CAST(NULL AS BIGINT) AS valid_to, false AS deleted, born AS ts_us FROM u),
 hops AS (
   SELECT i, (i + 1) % w.n AS j, 'n_' AS p, 'notifies' AS relation, 0 AS o, w.born, '0.9' AS weight FROM u, w
   UNION ALL SELECT i, (i * 7 + 3) % w.n, 'f_', 'influences', 1, w.born, '0.7' FROM u, w),
-edges AS (
+edges AS MATERIALIZED (
   SELECT p || i AS id, 'user_' || i AS src, 'user_' || j AS dst, relation, born AS valid_from, CAST(NULL AS BIGINT) AS valid_to,
          false AS deleted, i * 2 + o AS adj_pos, born AS ts_us FROM hops WHERE i <> j),
-props AS (
+props AS MATERIALIZED (
   SELECT 'node' AS owner_kind, entity_id AS owner_id, prop, value, num, tombstone, ts_us FROM log
   UNION ALL SELECT 'edge', p || i, 'weight', weight, CAST(weight AS DOUBLE), false, born FROM hops WHERE i <> j)"""
 )
@@ -40,14 +40,14 @@ def _props(table: str, kind: str, key: str, columns: dict[str, bool], born: str)
 _NODES = (("region", "region", "r_regionkey", "0"), ("nation", "nation", "n_nationkey", "0"), ("customer", "customer", "c_custkey", "0"), ("supplier", "supplier", "s_suppkey", "0"), ("part", "part", "p_partkey", "0"), ("orders", "order", "o_orderkey", "epoch_us(o_orderdate)"))
 
 COMMERCE = (
-    "nodes AS ("
+    "nodes AS MATERIALIZED ("
     + " UNION ALL ".join(f"SELECT '{k}_' || {key} AS id, '{k}' AS type, CAST({b} AS BIGINT) AS valid_from, CAST(NULL AS BIGINT) AS valid_to, false AS deleted, CAST({b} AS BIGINT) AS ts_us FROM {t}" for t, k, key, b in _NODES)
     + f"""),
 line AS (SELECT *, epoch_us(l_shipdate) AS born, l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || (epoch_us(l_shipdate) // {DAY}) AS lid FROM lineitem),
 lines AS (
   SELECT 'ct_' || lid AS id, 'order_' || l_orderkey AS src, 'part_' || l_partkey AS dst, 'contains' AS relation, born, l_returnflag, l_orderkey * 8 + l_linenumber AS adj_pos FROM line
   UNION ALL SELECT 'sb_' || lid, 'part_' || l_partkey, 'supplier_' || l_suppkey, 'supplied_by', born, l_returnflag, l_orderkey * 8 + l_linenumber FROM line),
-edges AS (
+edges AS MATERIALIZED (
   """
     + " UNION ALL ".join(
         [
@@ -59,7 +59,7 @@ edges AS (
             f"SELECT id, src, dst, relation, born, born + 30 * {DAY}, true, adj_pos, born + 30 * {DAY} FROM lines WHERE l_returnflag = 'R'",
         ]
     )
-    + "),\nprops AS ("
+    + "),\nprops AS MATERIALIZED ("
     + " UNION ALL ".join(
         [
             _props("region", "region", "r_regionkey", {"r_name": False}, "0"),
@@ -82,7 +82,7 @@ def snapshot(at: int | None, check_valid: bool = True, tag: str = "") -> str:
     seen = f"WHERE ts_us <= {at}" if at is not None else ""
     ok = f"AND valid_from <= {at} AND (valid_to IS NULL OR valid_to > {at})" if at is not None and check_valid else ""
     last = "QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY ts_us DESC) = 1"
-    return f"""nodes_raw{tag} AS (SELECT * FROM nodes {seen} {last.format(k='id')}),
-nodes_at{tag} AS (SELECT * FROM nodes_raw{tag} WHERE NOT deleted {ok}),
-edges_at{tag} AS (SELECT * FROM (SELECT * FROM edges {seen} {last.format(k='id')}) WHERE NOT deleted {ok}),
-props_at{tag} AS (SELECT * FROM (SELECT * FROM props {seen} {last.format(k='owner_kind, owner_id, prop')}) WHERE NOT tombstone)"""
+    return f"""nodes_raw{tag} AS MATERIALIZED (SELECT * FROM nodes {seen} {last.format(k='id')}),
+nodes_at{tag} AS MATERIALIZED (SELECT * FROM nodes_raw{tag} WHERE NOT deleted {ok}),
+edges_at{tag} AS MATERIALIZED (SELECT * FROM (SELECT * FROM edges {seen} {last.format(k='id')}) WHERE NOT deleted {ok}),
+props_at{tag} AS MATERIALIZED (SELECT * FROM (SELECT * FROM props {seen} {last.format(k='owner_kind, owner_id, prop')}) WHERE NOT tombstone)"""
