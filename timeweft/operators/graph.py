@@ -132,15 +132,23 @@ def scan(g: Graph, at: int | None, var: str, kind: str | None = None, props: Seq
 
 
 def diff(g: Graph, t1: int, t2: int, relation: str | None = None, from_type: str | None = None) -> DataFrame:
-    """Edges ``added``, ``removed`` or ``changed`` (another weight) between two transaction times: one full join of two snapshots."""
+    """Edges ``added``, ``removed`` or ``changed`` (another weight) between two transaction times: both snapshots come from one aggregate over each relation."""
 
-    def snap(t: int, tag: str) -> DataFrame:
-        e = edges_at(g, t, relation, check_valid=False)
-        weight = props_at(g, "edge", t, ["weight"]).select(F.col("owner_id").alias("_o"), F.col("num").alias("w"))
-        e = e.join(weight, F.col("id") == F.col("_o"), "left")
-        return e.select(F.col("id").alias("edge_id"), *[F.col(c).alias(f"{c}_{tag}") for c in ("src", "dst", "relation")], F.coalesce("w", F.lit(0.0)).alias(f"w_{tag}"))
+    def snaps(rows: DataFrame, key: str, *rest: str) -> DataFrame:
+        """The versions of ``key`` at either time, ``a`` and ``b``."""
+        last = lambda t: F.max_by(F.struct(*rest), F.when(F.col("ts_us") <= F.lit(t), F.col("ts_us")))
+        return rows.filter(F.col("ts_us") <= F.lit(max(t1, t2))).groupBy(key).agg(last(t1).alias("a"), last(t2).alias("b"))
 
-    both = snap(t1, "a").join(snap(t2, "b"), "edge_id", "full")
+    live = lambda v: v.isNotNull() & ~F.coalesce(v["deleted"], F.lit(False))
+    rows = g.edges if relation is None else g.edges.filter(F.col("relation") == relation)
+    e = snaps(rows, "id", "src", "dst", "relation", "deleted")
+    e = e.withColumn("a", F.when(live(F.col("a")), F.col("a"))).withColumn("b", F.when(live(F.col("b")), F.col("b"))).filter("a is not null or b is not null")
+    weight = snaps(g.props.filter((F.col("owner_kind") == "edge") & (F.col("prop") == "weight")), "owner_id", "num", "tombstone")
+    held = lambda c: F.coalesce(F.when(~F.col(f"{c}.tombstone"), F.col(f"{c}.num")), F.lit(0.0))
+    weight = weight.select(F.col("owner_id").alias("_o"), held("a").alias("_a"), held("b").alias("_b"))
+    both = e.join(weight, F.col("id") == F.col("_o"), "left")
+    tags = [F.col(f"{t}.{c}").alias(f"{c}_{t}") for t in "ab" for c in ("src", "dst", "relation")]
+    both = both.select(F.col("id").alias("edge_id"), *tags, F.coalesce("_a", F.lit(0.0)).alias("w_a"), F.coalesce("_b", F.lit(0.0)).alias("w_b"))
     was, is_ = F.col("src_a").isNotNull(), F.col("src_b").isNotNull()
     change = F.when(~was, "added").when(~is_, "removed").when(F.col("w_a") != F.col("w_b"), "changed")
     both = both.withColumn("change", change).filter(F.col("change").isNotNull())

@@ -38,8 +38,8 @@ def _ranked(cand: DataFrame) -> DataFrame:
     The rank over all of a level is one sort of the new nodes' order columns only; its numbers are dense, so they are
     made from the sorted partitions' sizes without a single task that sees all rows.
     """
-    first = Window.partitionBy("nbr").orderBy("rank", "ord")
-    new = cand.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    rest = [c for c in cand.columns if c != "nbr"]
+    new = cand.groupBy("nbr").agg(F.min_by(F.struct(*rest), F.struct("rank", "ord")).alias("_v")).select("nbr", "_v.*")  # a hub's ways combine before the shuffle
     new = cut(new.repartitionByRange("rank", "ord").sortWithinPartitions("rank", "ord").withColumn("_in", F.monotonically_increasing_id()))
     part = F.shiftright("_in", 33)
     sizes = new.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("n"))
@@ -124,7 +124,8 @@ def causal(g: Graph, trigger: str, at: int, max_depth: int = 5, window_us: int =
     base = (edges_at(g, at) if edges is None else edges).join(edge_weights(g, at).withColumnRenamed("owner_id", "_o"), F.col("id") == F.col("_o"), "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
     hops = oriented(g, at, "out" if forward else "in", relations, edges=base)
     hops = cut(hops.join(base.select(F.col("id").alias("_i"), "w"), F.col("edge_id") == F.col("_i")).drop("_i"))
-    moves = cut(changes(g).select(F.col("node").alias("_node"), "ts_us").distinct())
+    reach = (max_depth + 1) * window_us  # a change is within the window of its parent's, and the first within that of ``at``
+    moves = cut(changes(g).filter(F.col("ts_us").between(at - reach, at + reach)).select(F.col("node").alias("_node"), "ts_us").distinct())
     first = moves.filter((F.col("_node") == trigger) & F.col("ts_us").between(at - window_us, at)).agg(F.max("ts_us")).first()[0]
     frontier = _start(spark, trigger, ", change long, confidence double, path array<string>", (first if first is not None else at, 1.0, [trigger]))
     visited, found = frontier.select("node"), None
