@@ -137,3 +137,14 @@ def test_time_buckets(spark):
     assert S.retain(points(spark, 100, lambda i: i % 7, 1_000_000), "lttb", 10_000_000).count() == 10
     assert S.downsample(df, "whatever", 4).count() == 4
     assert S.lttb_stretches(df, 3, 5_000_000).select(F.count("*")).first()[0] == 6
+
+
+def test_longest_prefix_of_a_policy_holds(spark):
+    keys = ["", "a", "ab", "abc", "b:1", "b:12", "z"]
+    df = spark.createDataFrame([(k, 100, "v", False) for k in keys], "key string, ts_us long, value string, tombstone boolean")
+    held = {"": 900, "a": 10, "abc": 2000, "b:1": 20}
+    policies = spark.createDataFrame(list(held.items()), "prefix string, ttl_us long")
+    got = {r.key: r.ttl_us for r in store.expired(df, 1000, policies).collect()}
+    ttl = {k: held[max((p for p in held if k.startswith(p)), key=len)] for k in keys}
+    assert got == {k: t for k, t in ttl.items() if 100 + t <= 1000}
+    assert store.expired(df, 1000, policies.filter("false")).count() == 0

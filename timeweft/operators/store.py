@@ -133,11 +133,13 @@ def unreferenced(blobs: DataFrame, refs: DataFrame, older_than: int | None = Non
 def expired(log: DataFrame, now: int, policies: DataFrame) -> DataFrame:
     """Keys whose last version is older than their policy's ttl: ``key, last_us, ttl_us``.
 
-    ``policies`` (``prefix, ttl_us``; a few rows) apply to keys with that prefix; of several the
-    longest prefix holds.
+    ``policies`` (``prefix, ttl_us``) apply to keys with that prefix; of several the longest
+    prefix holds. A key meets them by equality, once for each length that a prefix has.
     """
     last = latest(log).filter(~F.col("tombstone")).select("key", F.col("ts_us").alias("last_us"))
-    match = last.join(F.broadcast(policies), F.col("key").startswith(F.col("prefix")))
+    lengths = policies.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    cut = last.crossJoin(lengths).select("key", "last_us", F.explode("lengths").alias("n")).filter(F.col("n") <= F.length("key"))
+    match = cut.withColumn("prefix", F.col("key").substr(F.lit(1), F.col("n"))).join(policies, "prefix")
     best = match.groupBy("key", "last_us").agg(F.max_by("ttl_us", F.length("prefix")).alias("ttl_us"))
     return best.filter(F.col("last_us") + F.col("ttl_us") <= F.lit(now))
 
