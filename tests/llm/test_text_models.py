@@ -241,3 +241,10 @@ def test_every_picture_of_a_large_group_is_found(spark):
     rows = [(i, pgm(one + r.normal(0, 1, one.shape))) for i in range(60)] + [(100 + i, pgm(I.draw(100 + i))) for i in range(20)]
     cls = {x.image_id: x.class_id for x in I.copy_classes(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
     assert {cls[i] for i in range(60)} == {0} and all(cls[100 + i] == 100 + i for i in range(20))
+
+
+def test_pages_without_an_id_keep_their_rows(spark):
+    pages = spark.createDataFrame([(0,), (None,), (7,), (None,), (7,)], "page_id long").withColumn("image_id", F.lit("x"))
+    got = Counter(tuple(r) for r in I.copy_classes(I.page_pictures(pages)).collect())
+    assert got == {(0, 0, 0): 1, (7, 7, 0): 2, (None, None, 0): 2} or got == {(0, 0, 1): 1, (7, 0, 1): 2, (None, None, 0): 2}
+    assert I.page_pictures(pages.filter("false")).count() == 0

@@ -312,12 +312,15 @@ def page_picture(number: int, kind: int = -1) -> bytes:
 
 
 def page_pictures(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """``image_id, image``: the tables hold no pictures, so one is drawn for each page."""
+    """``image_id, image``: the tables hold no pictures, so one is drawn for each page.
+
+    *Cases.* Null ids: a null picture. Rows with the same id: the same picture. Empty table: no rows. Other columns are ignored.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in it:
             for start in range(0, big.num_rows, TOGETHER):
                 ids = big.column(0).slice(start, TOGETHER)
-                yield pa.record_batch([ids, pa.array([page_picture(i) for i in ids.to_pylist()], pa.binary())], names=["image_id", "image"])
+                yield pa.record_batch([ids, pa.array([None if i is None else page_picture(i) for i in ids.to_pylist()], pa.binary())], names=["image_id", "image"])
 
-    return pages.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("image_id")).mapInArrow(batches, "image_id long, image binary")
+    return pages.select(F.col(key).cast("long").alias("image_id")).mapInArrow(batches, "image_id long, image binary")
