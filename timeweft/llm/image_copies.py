@@ -10,20 +10,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
 
 SCALES = (1.0, 0.8, 0.64)
-#: Corners kept at each scale.
-CORNERS = (9, 6, 3)
+#: A corner is the strongest place within so many pixels along either axis, at each scale: their number grows with the area.
+SPACING = 6
 RADIUS = 9
 TURNS = 24
-#: Tables of keys; each has 64 of a descriptor's bits.
+#: Tables of keys; each has 64 of a descriptor's 192 bits, so descriptors that differ in fewer bits than there are tables meet.
 TABLES = 3
-#: Pictures of one shape that are worked on together.
+#: Bits of the next table's 64 in which two descriptors that agree on a key may differ.
+DISTANCE = 12
+#: Pixels, and corners, that are worked on together.
+PIXELS = 1 << 19
+CORNERS = 1 << 12
+#: Pictures looked at together.
 TOGETHER = 128
 _HEAD = re.compile(rb"P([56])\s+(\d+)\s+(\d+)\s+255\s")
 
@@ -116,17 +121,36 @@ def _smooth(stack: np.ndarray) -> np.ndarray:
     return stack
 
 
+def _highest(stack: np.ndarray, reach: int) -> np.ndarray:
+    """The largest value within ``reach`` places along either axis."""
+    for axis in (1, 2):
+        n = stack.shape[axis]
+        held = np.pad(stack, [(0, 0)] + [(reach, reach) if i == axis else (0, 0) for i in (1, 2)], constant_values=-np.inf)
+        width, wanted = 1, 2 * reach + 1
+        while width < wanted:
+            step = min(width, wanted - width)
+            size = held.shape[axis] - step
+            held = np.maximum(held.take(range(size), axis), held.take(range(step, step + size), axis))
+            width += step
+        stack = held.take(range(n), axis)
+    return stack
+
+
 def features(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each scale: which picture, ``(x, y, turn, scale)`` in the picture's own pixels, and 64 bits for each table.
 
-    Corners are the strongest local peaks of the Harris response. A corner's turn is the
+    A corner is a place whose Harris response is the largest around it (``SPACING``). That asks nothing of the rest
+    of the picture, so a crop keeps the corners of its part, and no number of corners is set. A corner's turn is the
     direction of its patch's centre of brightness; the tests that make the bits turn with it. The
     patch's slope is taken out first: it would decide most tests alike in all patches.
     """
     out = []
-    for number, (scale, most) in enumerate(zip(SCALES, CORNERS, strict=True)):
+    span = np.arange(-RADIUS, RADIUS + 1)
+    disc = (span[:, None] ** 2 + span**2 <= RADIUS**2).astype(np.float32)
+    even = float((span**2 * disc).sum())
+    for number, scale in enumerate(SCALES):
         img = _smooth(_resized(stack, scale))
-        n, h, w = img.shape
+        _, h, w = img.shape
         edge = RADIUS + 1
         if h <= 2 * edge + 1 or w <= 2 * edge + 1:
             continue
@@ -135,34 +159,25 @@ def features(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
         xx, yy, xy = _smooth(np.stack([dx * dx, dy * dy, dx * dy]))
         strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         core = strength[:, edge:-edge, edge:-edge]
-        peak = np.ones(core.shape, bool)
-        for j in (-1, 0, 1):
-            for i in (-1, 0, 1):
-                if i or j:
-                    peak &= core >= strength[:, edge + j : h - edge + j, edge + i : w - edge + i]
-        flat = np.where(peak & (core > 1.0), core, 0).reshape(n, -1)
-        few = min(most, flat.shape[1])
-        top = np.argpartition(-flat, few - 1, axis=1)[:, :few]
-        which, place = np.repeat(np.arange(n), few), top.ravel()
-        real = flat[which, place] > 0
-        which, place = which[real], place[real]
-        y, x = place // core.shape[2] + edge, place % core.shape[2] + edge
-        span = np.arange(-RADIUS, RADIUS + 1)
-        disc = (span[:, None] ** 2 + span**2 <= RADIUS**2).astype(np.float32)
-        patch = img[which[:, None, None], y[:, None, None] + span[:, None], x[:, None, None] + span] * disc
-        angle = np.arctan2((patch * span[:, None]).sum((1, 2)), (patch * span).sum((1, 2)))
-        turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
-        at = TESTS[turn]
-        value = img[which[:, None, None], y[:, None, None] + at[..., 0], x[:, None, None] + at[..., 1]]
-        even = float((span**2 * disc).sum())
-        slope_y, slope_x = (patch * span[:, None]).sum((1, 2)) / even, (patch * span).sum((1, 2)) / even
-        value = value - slope_y[:, None, None] * at[..., 0] - slope_x[:, None, None] * at[..., 1]
-        bits = np.packbits(value[..., 0] < value[..., 1], axis=1).view(np.int64)
-        where = np.stack([(x + 0.5) / scale - 0.5, (y + 0.5) / scale - 0.5, turn, np.full(len(x), number)], 1)
-        out.append((which, where, bits))
+        all_which, all_y, all_x = np.nonzero((core == _highest(core, SPACING)) & (core > 1.0))
+        for start in range(0, len(all_which), CORNERS):
+            which, y, x = (v[start : start + CORNERS] for v in (all_which, all_y + edge, all_x + edge))
+            patch = img[which[:, None, None], y[:, None, None] + span[:, None], x[:, None, None] + span] * disc
+            slope_y, slope_x = (patch * span[:, None]).sum((1, 2)), (patch * span).sum((1, 2))
+            turn = np.rint(np.arctan2(slope_y, slope_x) / (2 * np.pi) * TURNS).astype(int) % TURNS
+            at = TESTS[turn]
+            value = img[which[:, None, None], y[:, None, None] + at[..., 0], x[:, None, None] + at[..., 1]]
+            value = value - (slope_y / even)[:, None, None] * at[..., 0] - (slope_x / even)[:, None, None] * at[..., 1]
+            bits = np.packbits(value[..., 0] < value[..., 1], axis=1).view(np.int64)
+            where = np.stack([(x + 0.5) / scale - 0.5, (y + 0.5) / scale - 0.5, turn, np.full(len(x), number)], 1)
+            out.append((which, where, bits))
     return out
 
 
+def _parts(rows: list, size: int) -> list[list]:
+    return [rows[i : i + size] for i in range(0, len(rows), size)]
+
+
 def descriptors(media: DataFrame, picture: str = "image", key: str = "image_id") -> DataFrame:
     """``image_id, digest, found`` for each row of ``media``, in one pass over the pictures.
 
@@ -182,7 +197,7 @@ def descriptors(media: DataFrame, picture: str = "image", key: str = "image_id")
                     if (img := decode_picture(data)) is not None:
                         shapes[img.shape].append((i, img))
                 own = [b"" for _ in pictures]
-                for held in shapes.values():
+                for held in (part for (h, w), same in shapes.items() for part in _parts(same, max(1, PIXELS // (h * w)))):
                     for which, where, bits in features(np.stack([img for _, img in held])):
                         x, y = (np.clip(np.rint(where[:, i]), 0, 65535).astype(np.int64) for i in (0, 1))
                         geo = x << 32 | y << 16 | where[:, 2].astype(np.int64) << 8 | where[:, 3].astype(np.int64)
@@ -197,7 +212,7 @@ def descriptors(media: DataFrame, picture: str = "image", key: str = "image_id")
 
 
 def table_keys(found: DataFrame) -> DataFrame:
-    """``image_id, geo, key``: each corner once for each table, by 64 of its bits and the table's number."""
+    """``image_id, geo, key, rest``: each corner once for each table, by 64 of its bits and the table's number; ``rest`` is the next table's bits."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -205,30 +220,61 @@ def table_keys(found: DataFrame) -> DataFrame:
             parts = [np.frombuffer(x or b"", np.int64).reshape(-1, 1 + TABLES) for x in b.column(1).to_pylist()]
             ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(p) for p in parts])
             rows = np.concatenate(parts) if parts else np.empty((0, 1 + TABLES), np.int64)
-            keys = rows[:, 1:].view(np.uint64) ^ mark
-            yield pa.record_batch([pa.array(np.repeat(ids, TABLES)), pa.array(np.repeat(rows[:, 0], TABLES)), pa.array(keys.reshape(-1).view(np.int64))], names=["image_id", "geo", "key"])
+            bits = np.ascontiguousarray(rows[:, 1:])
+            keys = (bits.view(np.uint64) ^ mark).reshape(-1).view(np.int64)
+            rest = np.roll(bits, -1, axis=1).reshape(-1)
+            yield pa.record_batch([pa.array(np.repeat(ids, TABLES)), pa.array(np.repeat(rows[:, 0], TABLES)), pa.array(keys), pa.array(rest)], names=["image_id", "geo", "key", "rest"])
 
-    return found.select("image_id", "found").mapInArrow(batches, "image_id long, geo long, key long")
+    return found.select("image_id", "found").mapInArrow(batches, "image_id long, geo long, key long, rest long")
 
 
-def links(rows: DataFrame, window: int = 8, least: int = 3, step: float = 6.0) -> DataFrame:
-    """``src, dst``: pictures of which ``least`` corners or more agree on one turn, scale and shift. ``rows``: ``image_id, geo, key``.
+def _close(one: str, other: str) -> Column:
+    return F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= DISTANCE
 
-    Descriptors that agree on a key meet. Within a key, ordered by picture, a row meets the ``window`` rows before it and
-    the first one: all of them where a key has up to ``window + 2`` rows, and enough to connect
-    the copies of one picture where it has more, without pairs that grow with the square. Each
-    meeting votes for the shift that its turn and scale imply, in two grids half a step apart
-    along either axis; the consensus is a count, combined before the shuffle.
-    """
-    from pyspark.sql import Window
 
+def meetings(rows: DataFrame, near: int) -> DataFrame:
+    """``key, a, ga, b, gb, rest``: descriptors that agree on a key and are close. ``rows``: ``image_id, geo, key, rest``.
+
+    In a key of up to ``near`` rows each meets all others. In a crowded one each meets the ``near`` before it, in the order of pictures,
+    and the first; its rows come as well, with neither ``a`` nor ``ga``, for ``crowded_meetings``.
+    """
     by = Window.partitionBy("key").orderBy("image_id", "geo")
-    one = F.struct("image_id", "geo")
-    met = rows.withColumn("near", F.collect_list(one).over(by.rowsBetween(-window, -1))).withColumn("first", F.first(one).over(by)).filter(F.size("near") > 0)
-    met = met.select(F.col("image_id").alias("b"), F.col("geo").alias("gb"), F.explode(F.array_distinct(F.concat("near", F.array("first")))).alias("o"))
-    met = met.select(F.col("o.image_id").alias("a"), F.col("o.geo").alias("ga"), "b", "gb").filter("a < b")
+    one = F.struct("image_id", "geo", "rest")
+    met = rows.withColumn("near", F.collect_list(one).over(by.rowsBetween(-near, -1))).withColumn("first", F.first(one).over(by))
+    met = met.withColumn("around", F.count(F.lit(1)).over(by.rowsBetween(-near, near))).filter("around > 1")
+    itself = F.when(F.col("around") > near, F.array(F.lit(None).cast("struct<image_id:bigint,geo:bigint,rest:bigint>")))
+    partners = F.array_distinct(F.concat("near", F.array("first"), F.coalesce(itself, F.array())))
+    met = met.select("key", F.col("image_id").alias("b"), F.col("geo").alias("gb"), "rest", F.explode(partners).alias("o"))
+    met = met.select("key", F.col("o.image_id").alias("a"), F.col("o.geo").alias("ga"), "b", "gb", "rest", F.col("o.rest").alias("rest_a"))
+    return met.filter(F.col("a").isNull() | (F.col("a") < F.col("b")) & _close("rest", "rest_a")).drop("rest_a")
+
+
+def crowded_meetings(rows: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """``a, ga, b, gb``: all close descriptors of crowded keys (``key, b, gb, rest``) whose pictures aren't in one class of ``roots`` yet.
+
+    Keys with one class only have nothing to add. The others' rows are cut into blocks of about ``block`` by a hash, and every
+    block meets every other of its key: an equi-join on key and both blocks, so no task sees a whole key. What it reads grows with the rows
+    of a key times its blocks; what it gives is only what is close and not yet joined.
+    """
+    own = rows.join(roots, F.col("b") == F.col("node"), "left").select("key", "b", "gb", "rest", F.coalesce("root", "b").alias("class"))
+    open_keys = own.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    open_keys = open_keys.select(F.col("key").alias("k"), F.ceil(F.col("n") / block).alias("blocks"))
+    own = cut(own.join(open_keys, F.col("key") == F.col("k")).withColumn("at", F.pmod(F.xxhash64("b", "gb"), F.col("blocks"))))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = own.select("key", F.col("at").alias("i"), every.alias("j"), F.col("b").alias("a"), F.col("gb").alias("ga"), F.col("rest").alias("rest_a"), F.col("class").alias("class_a"))
+    right = own.select("key", every.alias("i"), F.col("at").alias("j"), "b", "gb", "rest", "class")
+    met = left.join(right, ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("class") != F.col("class_a")) & _close("rest", "rest_a"))
+    return met.select("a", "ga", "b", "gb")
+
+
+def agreed(met: DataFrame, least: int, step: float = 6.0) -> DataFrame:
+    """``src, dst``: pictures of which ``least`` corners or more agree on one turn, scale and shift. ``met``: ``a, ga, b, gb``.
+
+    Each meeting votes for the shift that its turn and scale imply, in two grids half a step apart along either axis. Meetings are
+    shuffled once, by the two pictures; votes are made and counted where they are.
+    """
 
-    def part(g: str, shift: int, bits: int = 8):
+    def part(g: str, shift: int, bits: int = 8) -> Column:
         return F.shiftright(g, shift).bitwiseAND(2**bits - 1)
 
     scales = F.array(*[F.lit(s) for s in SCALES])
@@ -236,39 +282,52 @@ def links(rows: DataFrame, window: int = 8, least: int = 3, step: float = 6.0) -
     ratio = F.element_at(scales, (part("ga", 0) + 1).cast("int")) / F.element_at(scales, (part("gb", 0) + 1).cast("int"))
     angle = turn * F.lit(2 * np.pi / TURNS)
     ax, ay, bx, by_ = part("ga", 32, 16), part("ga", 16, 16), part("gb", 32, 16), part("gb", 16, 16)
+    met = met.select("a", "ga", "b", "gb").repartition("a", "b")
     met = met.withColumn("sx", bx - ratio * (F.cos(angle) * ax - F.sin(angle) * ay)).withColumn("sy", by_ - ratio * (F.sin(angle) * ax + F.cos(angle) * ay))
     met = met.withColumn("turn", turn).withColumn("level", part("gb", 0) - part("ga", 0))
     grids = F.array(*[F.struct(F.lit(i).alias("grid"), F.floor((F.col("sx") + i % 2 * step / 2) / step).alias("x"), F.floor((F.col("sy") + i // 2 * step / 2) / step).alias("y")) for i in range(4)])
-    votes = met.select("a", "b", "ga", "turn", "level", F.explode(grids).alias("g"))
-    votes = votes.select("a", "b", "turn", "level", "g.*", "ga").distinct()
-    agreed = votes.groupBy("a", "b", "turn", "level", "grid", "x", "y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return agreed.select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct()
+    votes = met.select("a", "b", "ga", "turn", "level", F.explode(grids).alias("g")).select("a", "b", "turn", "level", "g.*", "ga").distinct()
+    counted = votes.groupBy("a", "b", "turn", "level", "grid", "x", "y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return counted.select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct()
+
+
+def links(rows: DataFrame, near: int = 10, least: int = 3, block: int = 256) -> DataFrame:
+    """``src, dst``: links that join all pictures that any agreeing ones join. ``rows``: ``image_id, geo, key, rest``.
+
+    Two pictures are joined here, perhaps over others, if and only if comparing all pairs of descriptors that agree on a key would join
+    them: keys of up to ``near`` rows are compared in full, crowded ones with neighbours first, and then in full between the classes that are still apart.
+    """
+    met = cut(meetings(rows, near))
+    pairs, crowded = met.filter(F.col("a").isNotNull()), met.filter(F.col("a").isNull()).select("key", "b", "gb", "rest")
+    edges = cut(agreed(pairs, least))
+    if crowded.isEmpty():
+        return edges
+    more = crowded_meetings(crowded, components(edges), block)
+    return cut(edges.union(agreed(pairs.select("a", "ga", "b", "gb").union(more), least)).distinct())
 
 
 def copy_classes(media: DataFrame, picture: str = "image", key: str = "image_id", least: int = 3) -> DataFrame:
-    """``image_id, class_id, n_links`` for each row of ``media``: class_id is the smallest id that copies lead to.
+    """``image_id, class_id, class_size`` for each row of ``media``: class_id is the smallest id that copies lead to, class_size the rows that have it.
 
     *Plan.* A first pass leaves ids and digests, which are kept. A second one describes the pictures; equal bytes are one class (a partial
     aggregate on the digest), and only its smallest id goes on, with the descriptors of one of them. The descriptors' keys are the one large
     shuffle; links and classes are small and go through star contraction.
 
-    *Cases.* Null, empty or unreadable pictures: a class of their own each, without links, or with those of equal bytes. Pictures too
+    *Cases.* Null, empty or unreadable pictures: a class of their own each, or with those of equal bytes. Pictures too
     small or plain for corners: the same. Empty table: no rows. Rows with the same id: one result each. Ids must be integers; null ids
-    have a null class. Other columns are ignored.
+    have a null class of size 1. Other columns are ignored.
     """
     digest = F.when(F.octet_length(F.col(picture)) > 0, F.substring(F.unhex(F.sha2(F.col(picture), 256)), 1, 16))
     narrow = cut(media.select(F.col(key).cast("long").alias("image_id"), digest.alias("digest")))
     described = descriptors(media, picture, key).filter(F.col("digest").isNotNull())
     firsts = described.groupBy("digest").agg(F.min("image_id").alias("image_id"), F.first("found").alias("found"))
     keys = table_keys(firsts.filter(F.col("image_id").isNotNull()))
-    edges = cut(links(keys, least=least))
-    count = edges.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(edges)
-    classes = roots.join(count, F.col("node") == F.col("n"), "left").select("node", "root", "n_links")
+    roots = components(links(keys, least=least))
     heads = narrow.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("image_id").alias("head")).withColumnRenamed("digest", "d")
     out = narrow.join(heads, F.col("digest") == F.col("d"), "left").select("image_id", F.coalesce("head", "image_id").alias("head"))
-    out = out.join(classes, F.col("head") == F.col("node"), "left")
-    return out.select("image_id", F.coalesce("root", "head").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = out.join(roots, F.col("head") == F.col("node"), "left").select("image_id", F.coalesce("root", "head").alias("class_id"))
+    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).withColumnRenamed("class_id", "c")
+    return out.join(sizes, F.col("class_id") == F.col("c"), "left").select("image_id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
 
 
 def _spread(n: int, side: int) -> np.ndarray:
