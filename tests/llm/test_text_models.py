@@ -268,13 +268,13 @@ def plain_classes(rows, least=3, step=6.0):
         for a, ga, ra in held:
             for b, gb, rb in held:
                 if a < b and (int(ra) ^ int(rb) if (ra < 0) == (rb < 0) else (ra ^ rb) & 2**64 - 1).bit_count() <= I.DISTANCE:
-                    turn = ((gb >> 8 & 255) - (ga >> 8 & 255)) % I.TURNS
-                    ratio, angle = I.SCALES[ga & 255] / I.SCALES[gb & 255], turn * 2 * np.pi / I.TURNS
-                    ax, ay = ga >> 32 & 65535, ga >> 16 & 65535
-                    sx = (gb >> 32 & 65535) - ratio * (np.cos(angle) * ax - np.sin(angle) * ay)
-                    sy = (gb >> 16 & 65535) - ratio * (np.sin(angle) * ax + np.cos(angle) * ay)
+                    turn = ((gb >> 2 & 31) - (ga >> 2 & 31)) % I.TURNS
+                    ratio, angle = I.SCALES[ga & 3] / I.SCALES[gb & 3], turn * 2 * np.pi / I.TURNS
+                    ax, ay = ga >> 23 & 65535, ga >> 7 & 65535
+                    sx = (gb >> 23 & 65535) - ratio * (np.cos(angle) * ax - np.sin(angle) * ay)
+                    sy = (gb >> 7 & 65535) - ratio * (np.sin(angle) * ax + np.cos(angle) * ay)
                     for g in range(4):
-                        votes.setdefault((a, b, turn, (gb & 255) - (ga & 255), g, np.floor((sx + g % 2 * step / 2) / step), np.floor((sy + g // 2 * step / 2) / step)), set()).add(ga)
+                        votes.setdefault((a, b, turn, (gb & 3) - (ga & 3), g, np.floor((sx + g % 2 * step / 2) / step), np.floor((sy + g // 2 * step / 2) / step)), set()).add(ga)
     root = {}
 
     def find(n):
@@ -297,7 +297,7 @@ def test_crowded_keys_lose_no_class(spark):
         family = r.randrange(30)
         for c in range(3):  # corners of a family agree on a shift, at places of their own
             key = 1000 + (family % 6) * 3 + c
-            rows.append((i, (100 + 40 * c + 300 * (family // 6)) << 32 | (200 + 300 * (family % 5)) << 16 | r.choice([0, 0, 0, 6]) << 8, key, r.choice([-1, -1, 2**40 - 1])))
+            rows.append((i, (100 + 40 * c + 300 * (family // 6)) << 23 | (200 + 300 * (family % 5)) << 7 | r.choice([0, 0, 0, 6]) << 2, key, r.choice([-1, -1, 2**40 - 1])))
     df = spark.createDataFrame([(*x, "x") for x in rows], "image_id long, geo long, key long, rest long, digest string")
     want = plain_classes(df.collect())
     assert 1 < len(set(want.values())) < 120

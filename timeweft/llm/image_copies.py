@@ -25,6 +25,8 @@ TURNS = 24
 TABLES = 3
 #: Bits of the next table's 64 in which two descriptors that agree on a key may differ.
 DISTANCE = 12
+#: A corner as workers hand it on.
+CORNER = np.dtype([("near", "<u4"), ("far", "u1"), ("bits", "<i8", (TABLES,))])
 #: Pixels, and corners, that are worked on together.
 PIXELS = 1 << 19
 CORNERS = 1 << 12
@@ -181,8 +183,8 @@ def _parts(rows: list, size: int) -> list[list]:
 def descriptors(media: DataFrame, picture: str = "image", key: str = "image_id") -> DataFrame:
     """``image_id, digest, found`` for each row of ``media``, in one pass over the pictures.
 
-    ``digest`` is 128 bits of the bytes' SHA-256 (null for none), ``found`` holds longs for each corner: its place (x and y in 16
-    bits each, turn and scale in 8 bits each) and the bits for each table.
+    ``digest`` is 128 bits of the bytes' SHA-256 (null for none), ``found`` holds a ``CORNER`` for each corner: its place in 39 bits (x and y
+    in 16 each, turn in 5, scale in 2) and the bits for each table.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +202,9 @@ def descriptors(media: DataFrame, picture: str = "image", key: str = "image_id")
                 for held in (part for (h, w), same in shapes.items() for part in _parts(same, max(1, PIXELS // (h * w)))):
                     for which, where, bits in features(np.stack([img for _, img in held])):
                         x, y = (np.clip(np.rint(where[:, i]), 0, 65535).astype(np.int64) for i in (0, 1))
-                        geo = x << 32 | y << 16 | where[:, 2].astype(np.int64) << 8 | where[:, 3].astype(np.int64)
-                        table = np.column_stack([geo, bits])
+                        geo = x << 23 | y << 7 | where[:, 2].astype(np.int64) << 2 | where[:, 3].astype(np.int64)
+                        table = np.empty(len(geo), CORNER)
+                        table["near"], table["far"], table["bits"] = geo & 0xFFFFFFFF, geo >> 32, bits
                         for n in np.unique(which):
                             own[held[n][0]] += table[which == n].tobytes()
                 digest = pa.array([sha256(d).digest()[:16] if d else None for d in pictures], pa.binary())
@@ -212,20 +215,24 @@ def descriptors(media: DataFrame, picture: str = "image", key: str = "image_id")
 
 
 def table_keys(found: DataFrame) -> DataFrame:
-    """``image_id, geo, key, rest``: each corner once for each table, by 64 of its bits and the table's number; ``rest`` is the next table's bits."""
+    """``image_id, key, rest, geo``: each corner once for each table, by 64 of its bits and the table's number; ``rest`` is the next table's bits.
+
+    ``geo`` is last, so its empty bytes meet those at the head of the next row and the codec of the shuffle takes both as one.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for b in it:
-            parts = [np.frombuffer(x or b"", np.int64).reshape(-1, 1 + TABLES) for x in b.column(1).to_pylist()]
+            parts = [np.frombuffer(x or b"", CORNER) for x in b.column(1).to_pylist()]
             ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(p) for p in parts])
-            rows = np.concatenate(parts) if parts else np.empty((0, 1 + TABLES), np.int64)
-            bits = np.ascontiguousarray(rows[:, 1:])
+            rows = np.concatenate(parts) if parts else np.empty(0, CORNER)
+            bits = np.ascontiguousarray(rows["bits"])
             keys = (bits.view(np.uint64) ^ mark).reshape(-1).view(np.int64)
             rest = np.roll(bits, -1, axis=1).reshape(-1)
-            yield pa.record_batch([pa.array(np.repeat(ids, TABLES)), pa.array(np.repeat(rows[:, 0], TABLES)), pa.array(keys), pa.array(rest)], names=["image_id", "geo", "key", "rest"])
+            geo = np.repeat(rows["near"].astype(np.int64) | rows["far"].astype(np.int64) << 32, TABLES)
+            yield pa.record_batch([pa.array(np.repeat(ids, TABLES)), pa.array(keys), pa.array(rest), pa.array(geo)], names=["image_id", "key", "rest", "geo"])
 
-    return found.select("image_id", "found").mapInArrow(batches, "image_id long, geo long, key long, rest long")
+    return found.select("image_id", "found").mapInArrow(batches, "image_id long, key long, rest long, geo long")
 
 
 def _close(one: str, other: str) -> Column:
@@ -233,7 +240,7 @@ def _close(one: str, other: str) -> Column:
 
 
 def meetings(rows: DataFrame, near: int) -> DataFrame:
-    """``key, a, ga, b, gb, rest``: descriptors that agree on a key and are close. ``rows``: ``image_id, geo, key, rest``.
+    """``key, a, ga, b, gb, rest``: descriptors that agree on a key and are close. ``rows``: ``image_id, key, rest, geo``.
 
     In a key of up to ``near`` rows each meets all others. In a crowded one each meets the ``near`` before it, in the order of pictures,
     and the first; its rows come as well, with neither ``a`` nor ``ga``, for ``crowded_meetings``.
@@ -274,17 +281,17 @@ def agreed(met: DataFrame, least: int, step: float = 6.0) -> DataFrame:
     shuffled once, by the two pictures; votes are made and counted where they are.
     """
 
-    def part(g: str, shift: int, bits: int = 8) -> Column:
+    def part(g: str, shift: int, bits: int) -> Column:
         return F.shiftright(g, shift).bitwiseAND(2**bits - 1)
 
     scales = F.array(*[F.lit(s) for s in SCALES])
-    turn = F.pmod(part("gb", 8) - part("ga", 8), F.lit(TURNS))
-    ratio = F.element_at(scales, (part("ga", 0) + 1).cast("int")) / F.element_at(scales, (part("gb", 0) + 1).cast("int"))
+    turn = F.pmod(part("gb", 2, 5) - part("ga", 2, 5), F.lit(TURNS))
+    ratio = F.element_at(scales, (part("ga", 0, 2) + 1).cast("int")) / F.element_at(scales, (part("gb", 0, 2) + 1).cast("int"))
     angle = turn * F.lit(2 * np.pi / TURNS)
-    ax, ay, bx, by_ = part("ga", 32, 16), part("ga", 16, 16), part("gb", 32, 16), part("gb", 16, 16)
+    ax, ay, bx, by_ = part("ga", 23, 16), part("ga", 7, 16), part("gb", 23, 16), part("gb", 7, 16)
     met = met.select("a", "ga", "b", "gb").repartition("a", "b")
     met = met.withColumn("sx", bx - ratio * (F.cos(angle) * ax - F.sin(angle) * ay)).withColumn("sy", by_ - ratio * (F.sin(angle) * ax + F.cos(angle) * ay))
-    met = met.withColumn("turn", turn).withColumn("level", part("gb", 0) - part("ga", 0))
+    met = met.withColumn("turn", turn).withColumn("level", part("gb", 0, 2) - part("ga", 0, 2))
     grids = F.array(*[F.struct(F.lit(i).alias("grid"), F.floor((F.col("sx") + i % 2 * step / 2) / step).alias("x"), F.floor((F.col("sy") + i // 2 * step / 2) / step).alias("y")) for i in range(4)])
     votes = met.select("a", "b", "ga", "turn", "level", F.explode(grids).alias("g")).select("a", "b", "turn", "level", "g.*", "ga").distinct()
     counted = votes.groupBy("a", "b", "turn", "level", "grid", "x", "y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
@@ -292,7 +299,7 @@ def agreed(met: DataFrame, least: int, step: float = 6.0) -> DataFrame:
 
 
 def links(rows: DataFrame, near: int = 10, least: int = 3, block: int = 256) -> DataFrame:
-    """``src, dst``: links that join all pictures that any agreeing ones join. ``rows``: ``image_id, geo, key, rest``.
+    """``src, dst``: links that join all pictures that any agreeing ones join. ``rows``: ``image_id, key, rest, geo``.
 
     Two pictures are joined here, perhaps over others, if and only if comparing all pairs of descriptors that agree on a key would join
     them: keys of up to ``near`` rows are compared in full, crowded ones with neighbours first, and then in full between the classes that are still apart.
