@@ -139,6 +139,19 @@ def test_time_buckets(spark):
     assert S.lttb_stretches(df, 3, 5_000_000).select(F.count("*")).first()[0] == 6
 
 
+def test_retention_deals_keys_over_all_parts_and_keeps_each_keys_own_number(spark):
+    """Small parts aren't joined into a task that holds them all; keys of different spans go through one fold, the key null too."""
+    rows = [(f"k{k}", i * 1_000_000, float(i * i % 97)) for k in range(40) for i in range(30)] + [(None, i * 1_000_000, float(i % 7)) for i in range(100)]
+    df = spark.createDataFrame(rows, "key string, ts_us long, value double")
+    got = S.time_lttb(df, 10_000_000).withColumn("part", F.spark_partition_id())
+    assert got.select("part").distinct().count() > 1
+    per_key = {r.key: r["n"] for r in got.groupBy("key").agg(F.count("*").alias("n")).collect()}
+    assert per_key == {f"k{k}": 3 for k in range(40)} | {None: 10}
+    for key, n in (("k7", 3), (None, 10)):
+        one = S.lttb(df.filter(F.col("key").eqNullSafe(key)), n, half_open=True)
+        assert sorted(map(tuple, one.select("ts_us", "value").collect())) == sorted((r.ts_us, r.value) for r in got.filter(F.col("key").eqNullSafe(key)).collect())
+
+
 def test_longest_prefix_of_a_policy_holds(spark):
     keys = ["", "a", "ab", "abc", "b:1", "b:12", "z"]
     df = spark.createDataFrame([(k, 100, "v", False) for k in keys], "key string, ts_us long, value string, tombstone boolean")

@@ -53,18 +53,18 @@ def min_max(series: DataFrame, buckets: int) -> DataFrame:
     return short.unionByName(both)
 
 
-def _lttb(points: str, n: int, half_open: bool = False) -> str:
+def _lttb(points: str, n: int | str, half_open: bool = False) -> str:
     """SQL for the points kept of an ordered array of ``(ts, value)``: a fold over buckets whose state is the last pick.
 
-    With ``e(k) = floor(k s) + 1`` and ``s = (len-2)/(n-2)``, bucket k holds places ``e(k-1) .. min(e(k), len-1)``, both ends
-    included, so buckets share a point; ``half_open`` leaves the end out. The pick is the first point with the
-    largest triangle against the last pick and the next bucket's mean.
+    ``n`` is a number or a column that holds 3 or more. With ``e(k) = floor(k s) + 1`` and ``s = (len-2)/(n-2)``, bucket k
+    holds places ``e(k-1) .. min(e(k), len-1)``, both ends included, so buckets share a point; ``half_open`` leaves the end
+    out. The pick is the first point with the largest triangle against the last pick and the next bucket's mean.
     """
     ends = f"concat(slice({points}, 1, 1), slice({points}, -1, 1))"
-    if n < 3:
+    if isinstance(n, int) and n < 3:
         return f"if(size({points}) <= {n}, {points}, {ends})"
     last = f"size({points}) - 1"
-    e = lambda k: f"(int(floor(({k}) * ((size({points}) - 2) / double({n - 2})))) + 1)"
+    e = lambda k: f"(int(floor(({k}) * ((size({points}) - 2) / double({n} - 2)))) + 1)"
     stop = f"least({e('k')}, {last})"
     after = f"least({e('k + 1')}, {last if not half_open else last + ' + 1'})"
     extra = 0 if half_open else 1
@@ -76,10 +76,21 @@ def _lttb(points: str, n: int, half_open: bool = False) -> str:
     state = f"named_struct('area', -1D, 'p', {points}[{e('k - 1')}], 'last', element_at(acc, -1), 'x', {mean('ts')}, 'y', {mean('value')})"
     step = f"(s, p) -> if({area} > s.area, named_struct('area', {area}, 'p', p, 'last', s.last, 'x', s.x, 'y', s.y), s)"
     pick = f"aggregate({own}, {state}, {step}, s -> s.p)"
-    fold = f"aggregate(sequence(1, {n - 2}), slice({points}, 1, 1), (acc, k) -> concat(acc, array({pick})))"
+    fold = f"aggregate(sequence(1, {n} - 2), slice({points}, 1, 1), (acc, k) -> concat(acc, array({pick})))"
     return f"if(size({points}) <= {n}, {points}, concat({fold}, slice({points}, -1, 1)))"
 
 
+def _whole(series: DataFrame) -> DataFrame:
+    """``key, points``: each key's points as one array in time order.
+
+    Points are dealt by key before they are gathered, so no map task sorts its rows by key first, and the parts are as many
+    as the session's shuffles have: without a number, small parts would be joined until a task holds much of the input.
+    """
+    point = F.struct(F.col("ts_us").cast("double").alias("ts"), F.col("value").cast("double").alias("value"), "ts_us")
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return series.select("key", "ts_us", "value").repartition(parts, "key").groupBy("key").agg(F.array_sort(F.collect_list(point)).alias("points"))
+
+
 def lttb(series: DataFrame, n: int, half_open: bool = False) -> DataFrame:
     """Largest triangle, three buckets: n points of each key that keep the series' shape.
 
@@ -88,9 +99,7 @@ def lttb(series: DataFrame, n: int, half_open: bool = False) -> DataFrame:
     """
     if n <= 0:
         return series.select("key", "ts_us", "value").filter(F.lit(False))
-    point = F.struct(F.col("ts_us").cast("double").alias("ts"), F.col("value").cast("double").alias("value"), "ts_us")
-    whole = series.groupBy("key").agg(F.array_sort(F.collect_list(point)).alias("points"))
-    return whole.select("key", F.explode(F.expr(_lttb("points", n, half_open))).alias("p")).select("key", "p.ts_us", "p.value")
+    return _whole(series).select("key", F.explode(F.expr(_lttb("points", n, half_open))).alias("p")).select("key", "p.ts_us", "p.value")
 
 
 def lttb_stretches(series: DataFrame, n: int, stretch_us: int) -> DataFrame:
@@ -119,18 +128,13 @@ def time_min_max(series: DataFrame, interval_us: int) -> DataFrame:
 def time_lttb(series: DataFrame, interval_us: int) -> DataFrame:
     """Shape-preserving retention: each key gets about one point for each interval of its span, 3 at least.
 
-    The number of points differs by key, so keys are grouped by it and each number has its own
-    fold; the driver sees the distinct numbers only.
+    The number of points differs by key and is read off the key's own array, so all keys go through one fold.
     """
     if interval_us <= 0:
         return series.select("key", "ts_us", "value")
-    spans = series.groupBy("key").agg(F.greatest(F.lit(3), F.floor((F.max("ts_us") - F.min("ts_us")) / interval_us) + 1).alias("_n"))
-    rows = series.join(spans, "key")
-    out = None
-    for n in sorted(r["_n"] for r in spans.select("_n").distinct().collect()):
-        part = lttb(rows.filter(F.col("_n") == n).select("key", "ts_us", "value"), int(n), half_open=True)
-        out = part if out is None else out.unionByName(part)
-    return series.select("key", "ts_us", "value").filter(F.lit(False)) if out is None else out
+    span = F.array_max("points.ts_us") - F.array_min("points.ts_us")
+    rows = _whole(series).withColumn("_n", F.greatest(F.lit(3), F.floor(span / interval_us) + 1))
+    return rows.select("key", F.explode(F.expr(_lttb("points", "_n", half_open=True))).alias("p")).select("key", "p.ts_us", "p.value")
 
 
 def _time_bucket(series: DataFrame, interval_us: int) -> DataFrame:
