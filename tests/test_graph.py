@@ -133,6 +133,30 @@ def test_writes(spark):
     assert kept.first().num == 7.0 and refused.first().owner_id == "c"
 
 
+def joins(df, kind):
+    return df._jdf.queryExecution().analyzed().toString().count(f"Join {kind}")
+
+
+def test_only_relations_and_sides_that_fail_are_looked_at(spark):
+    nodes = [("a", "t", 10, 100), ("b", "t", 0, None), ("c", "t", 0, None), ("gone", "t", 0, 5, True, 3)]
+    fine = [(f"f{i}", "b", "c", "fine", i, None) for i in range(5)]
+    late = [("early", "a", "b", "late", 9, 50), ("open", "a", "b", "late", 20, None), ("long", "a", "b", "late", 20, 101), ("ok", "a", "b", "late", 10, 100), ("dead", "a", "b", "late", 1, 50), ("dead", "a", "b", "late", 1, 50, True, 70)]
+    late += [("mended", "a", "b", "late", 1, 50), ("mended", "a", "b", "late", 11, 50, False, 70), ("spoilt", "a", "b", "late", 11, 50), ("spoilt", "a", "b", "late", 1, 50, False, 70), ("never", "a", "b", "late", None, 50)]
+    got = G.edge_validity_violations(graph(spark, nodes, fine + late))
+    assert {r.id: r.reason for r in got.collect()} == dict.fromkeys(("early", "open", "long", "spoilt", "never"), "edge outside node validity")
+    assert joins(got, "LeftOuter") == 1
+    lost = [("x", "b", "nowhere", "lost", 1, None), ("y", "b", "gone", None, 1, None), ("z", None, "b", None, 1, None)]
+    got = G.edge_validity_violations(graph(spark, nodes, fine + late + lost))
+    assert {r.id for r in got.filter("reason = 'node not found'").collect()} == {"x", "y", "z"} and got.count() == 8
+    assert G.edge_validity_violations(graph(spark, nodes, fine)).count() == 0
+    several = G.MANY
+    try:
+        G.MANY = 1
+        assert G.edge_validity_violations(graph(spark, nodes, fine + late + lost)).count() == 8
+    finally:
+        G.MANY = several
+
+
 def test_resolve(spark):
     g = graph(spark, [("n2", "t"), ("n1", "t"), ("gone", "t", 0, None, True)], [], [("node", "n2", "name", "pump", 0), ("node", "n1", "name", "pump", 0), ("node", "gone", "name", "x", 0)])
     assert [G.resolve(g, k).collect() for k in ("x", "nothing")] == [[], []]

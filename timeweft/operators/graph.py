@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +35,14 @@ def overlaps(start: int, end: int) -> Column:
 def nodes_at(g: Graph, at: int | None = None, kind: str | None = None, check_valid: bool = True, live: bool = True) -> DataFrame:
     """``id, type, valid_from, valid_to, deleted, ts_us``: the last version of each node at ``at``."""
     rows = g.nodes if kind is None else g.nodes.filter(F.col("type") == kind)
-    out = latest(rows, at, ("id",), WRITTEN)
+    out = latest(rows, at, ("id",), WRITTEN, few=True)
     out = out.filter(~F.col("deleted")) if live else out
     return out.filter(valid(at)) if check_valid else out
 
 
 def edges_at(g: Graph, at: int | None = None, relation: str | None = None, check_valid: bool = True, live: bool = True) -> DataFrame:
     rows = g.edges if relation is None else g.edges.filter(F.col("relation") == relation)
-    out = latest(rows, at, ("id",), WRITTEN)
+    out = latest(rows, at, ("id",), WRITTEN, few=True)
     out = out.filter(~F.col("deleted")) if live else out
     return out.filter(valid(at)) if check_valid else out
 
@@ -239,15 +240,53 @@ def fetch_history(rows: DataFrame, log: DataFrame, key: Column, alias: str, star
 
 # Writes: each returns version rows to append.
 
+SIDES = ("src", "dst")
+MANY = 1000
+
+
+def _spans(g: Graph) -> DataFrame:
+    """``relation, side, node, lo, hi, open``: the least start and the greatest end of all versions of a relation's edges at a node, and if one has no end."""
+    ends = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("node")) for s in SIDES])).alias("e")
+    rows = g.edges.select("relation", F.coalesce("valid_from", F.lit(0)).alias("start"), "valid_to", ends).select("relation", "e.side", "e.node", "start", "valid_to")
+    return rows.groupBy("node", "relation", "side").agg(F.min("start").alias("lo"), F.max("valid_to").alias("hi"), F.bool_or(F.col("valid_to").isNull()).alias("open"))
+
+
+def _relations(spans: DataFrame) -> dict[str, list[str | None]] | None:
+    """The relations in ``spans`` by their side: labels, so few. None if they are more than ``MANY``, when all edges are looked at.
+
+    An edge's relation never changes, so it may be filtered before versions are compared.
+    """
+    pairs = spans.select("relation", "side").distinct().limit(MANY + 1).collect()
+    return None if len(pairs) > MANY else {s: [r["relation"] for r in pairs if r["side"] == s] for s in SIDES}
+
+
+def _of_relations(g: Graph, names: Sequence[str | None]) -> Graph:
+    known = [n for n in names if n is not None]
+    wanted = F.col("relation").isin(known) if known else F.lit(False)
+    return replace(g, edges=g.edges.filter(wanted | F.col("relation").isNull() if None in names else wanted))
+
 
 def create_edges(g: Graph, new: DataFrame, ts_us: int) -> tuple[DataFrame, DataFrame]:
     """Splits ``new`` (``id, src, dst, relation, valid_from, valid_to``) into versions and rejects (with a ``reason``).
 
     Both ends must be live, and the edge's interval must lie within theirs. A missing start is now.
     """
-    ends = nodes_at(g, None, check_valid=False).select("id", "valid_from", "valid_to")
+    rows = _checked(g, new, ts_us)
+    keep = ["id", "src", "dst", "relation", "valid_from", "valid_to"]
+    good = rows.filter(F.col("reason").isNull()).select(*keep, F.lit(False).alias("deleted"), F.lit(ts_us).alias("adj_pos"), F.lit(ts_us).alias("ts_us"))
+    return good, rows.filter(F.col("reason").isNotNull()).select(*keep, "reason")
+
+
+def _ends(g: Graph) -> DataFrame:
+    """The intervals of live nodes: ``id, valid_from, valid_to``."""
+    return nodes_at(replace(g, nodes=g.nodes.select("id", "valid_from", "valid_to", "deleted", "ts_us")), None, check_valid=False).select("id", "valid_from", "valid_to")
+
+
+def _checked(g: Graph, new: DataFrame, ts_us: int, sides: Sequence[str] = SIDES) -> DataFrame:
+    """``new`` with the ``reason`` why an edge can't be, null if it can, by the nodes at ``sides``."""
+    ends = _ends(g)
     rows = new.withColumn("valid_from", F.coalesce("valid_from", F.lit(ts_us)))
-    for side in ("src", "dst"):
+    for side in sides:
         e = ends.select(F.col("id").alias(f"_{side}"), F.col("valid_from").alias(f"_{side}_from"), F.col("valid_to").alias(f"_{side}_to"))
         rows = rows.join(e, F.col(side) == F.col(f"_{side}"), "left")
 
@@ -255,17 +294,27 @@ def create_edges(g: Graph, new: DataFrame, ts_us: int) -> tuple[DataFrame, DataF
         top = F.col(f"_{side}_to")
         return (F.col("valid_from") >= F.col(f"_{side}_from")) & (top.isNull() | (F.col("valid_to").isNotNull() & (F.col("valid_to") <= top)))
 
-    reason = F.when(F.col("_src").isNull() | F.col("_dst").isNull(), "node not found").when(~(within("src") & within("dst")), "edge outside node validity")
-    rows = rows.withColumn("reason", reason)
-    keep = ["id", "src", "dst", "relation", "valid_from", "valid_to"]
-    good = rows.filter(F.col("reason").isNull()).select(*keep, F.lit(False).alias("deleted"), F.lit(ts_us).alias("adj_pos"), F.lit(ts_us).alias("ts_us"))
-    return good, rows.filter(F.col("reason").isNotNull()).select(*keep, "reason")
+    lost = reduce(Column.__or__, [F.col(f"_{side}").isNull() for side in sides])
+    reason = F.when(lost, "node not found").when(~reduce(Column.__and__, [within(side) for side in sides]), "edge outside node validity")
+    return rows.withColumn("reason", reason)
 
 
 def edge_validity_violations(g: Graph) -> DataFrame:
-    """Live edges whose interval isn't within both their nodes' intervals: ``id, src, dst``."""
-    now = edges_at(g, check_valid=False).select("id", "src", "dst", "relation", "valid_from", "valid_to")
-    return create_edges(g, now, 0)[1].select("id", "src", "dst", "reason")
+    """Live edges whose interval isn't within both their nodes' intervals: ``id, src, dst, reason``.
+
+    First each node is held against the span of all edges at it, an aggregate that combines before the shuffle. Only relations, and sides
+    of them, for which some node fails there have edges to be looked at one by one.
+    """
+    start, end = F.col("valid_from"), F.col("valid_to")
+    outside = F.col("id").isNull() | (F.col("lo") < start) | (end.isNotNull() & (F.col("open") | (F.col("hi") > end)))
+    found = _relations(_spans(g).join(_ends(g), F.col("node") == F.col("id"), "left").filter(outside))
+    sides = SIDES if found is None else [s for s in SIDES if found[s]]
+    rows = g if found is None else _of_relations(g, sorted({r for s in SIDES for r in found[s]}, key=str))
+    rows = replace(rows, edges=rows.edges.select("id", "src", "dst", "valid_from", "valid_to", "deleted", "ts_us"))
+    now = edges_at(rows, check_valid=False).select("id", "src", "dst", "valid_from", "valid_to")
+    if not sides:
+        return now.select("id", "src", "dst", F.lit("").alias("reason")).filter(F.lit(False))
+    return _checked(g, now, 0, sides).filter(F.col("reason").isNotNull()).select("id", "src", "dst", "reason")
 
 
 def delete_nodes(g: Graph, ids: DataFrame, ts_us: int) -> tuple[DataFrame, DataFrame]:
