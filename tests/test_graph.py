@@ -157,6 +157,24 @@ def test_only_relations_and_sides_that_fail_are_looked_at(spark):
         G.MANY = several
 
 
+def test_deletion_looks_at_relations_of_the_nodes_only(spark):
+    nodes = [(n, "t") for n in "abcd"]
+    edges = [("ab", "a", "b", "to", 0, None), ("bc", "b", "c", "to", 0, None), ("bb", "b", "b", "to", 0, None), ("was", "b", "c", "to", 0, None), ("was", "b", "c", "to", 0, 9, True, 9), ("cd", "c", "d", "in", 0, None), ("db", "d", "b", "in", 0, None), ("none", "c", "b", None, 0, None), ("cc", "c", "c", "far", 0, None)]
+    g = graph(spark, nodes, edges)
+    found = lambda *ids: G.delete_nodes(g, spark.createDataFrame([(i,) for i in ids], "id string"), 60)[1]
+    assert sorted(r.id for r in found("b").collect()) == ["ab", "bb", "bc", "db", "none"]
+    assert all(r.deleted and r.valid_to == r.ts_us == 60 for r in found("b").collect())
+    one = found("a")
+    assert [r.id for r in one.collect()] == ["ab"] and joins(one, "LeftSemi") == 1
+    assert found("nowhere").count() == 0 and found("nowhere").columns == one.columns
+    several = G.MANY
+    try:
+        G.MANY = 1
+        assert sorted(r.id for r in found("b").collect()) == ["ab", "bb", "bc", "db", "none"]
+    finally:
+        G.MANY = several
+
+
 def test_resolve(spark):
     g = graph(spark, [("n2", "t"), ("n1", "t"), ("gone", "t", 0, None, True)], [], [("node", "n2", "name", "pump", 0), ("node", "n1", "name", "pump", 0), ("node", "gone", "name", "x", 0)])
     assert [G.resolve(g, k).collect() for k in ("x", "nothing")] == [[], []]

@@ -318,13 +318,26 @@ def edge_validity_violations(g: Graph) -> DataFrame:
 
 
 def delete_nodes(g: Graph, ids: DataFrame, ts_us: int) -> tuple[DataFrame, DataFrame]:
-    """Soft-deletion versions of the nodes in ``ids`` (``id``) and of all live edges at either end of them."""
+    """Soft-deletion versions of the nodes in ``ids`` (``id``) and of all live edges at either end of them.
+
+    Relations that have none of the nodes at a side aren't looked at there.
+    """
     ids = ids.select("id").distinct()
     gone = {"deleted": F.lit(True), "valid_to": F.lit(ts_us).cast("bigint"), "ts_us": F.lit(ts_us).cast("bigint")}
     nodes = nodes_at(g, check_valid=False).join(ids, "id", "left_semi").withColumns(gone)
-    edges = edges_at(g, check_valid=False)
     ends = ids.withColumnRenamed("id", "_end")
-    touched = edges.join(ends, F.col("src") == F.col("_end"), "left_semi").union(edges.join(ends, F.col("dst") == F.col("_end"), "left_semi")).dropDuplicates(["id"])
+    found = _relations(_spans(g).join(ends, F.col("node") == F.col("_end"), "left_semi"))
+
+    def at(rows: Graph, *sides: str) -> DataFrame:
+        edges = edges_at(rows, check_valid=False)
+        return reduce(DataFrame.union, [edges.join(ends, F.col(s) == F.col("_end"), "left_semi") for s in sides])
+
+    if found is None:
+        return nodes, at(g, *SIDES).dropDuplicates(["id"]).withColumns(gone)
+    both = {r for r in found["src"] if r in found["dst"]}
+    parts = [at(_of_relations(g, own), s) for s in SIDES if (own := [r for r in found[s] if r not in both])]
+    parts += [at(_of_relations(g, sorted(both, key=str)), *SIDES).dropDuplicates(["id"])] if both else []
+    touched = reduce(DataFrame.union, parts) if parts else g.edges.filter(F.lit(False))
     return nodes, touched.withColumns(gone)
 
 
