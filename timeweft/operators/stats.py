@@ -10,16 +10,20 @@ from ..functions.values import glob_regex
 ALPHA = 0.05
 
 
-def write_rate(times: Column) -> Column:
-    """Exponentially weighted writes a second over ascending times in µs; 0 for one write. A gap of 0 or less counts as 1 µs."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("double").alias("rate"))
+def fold_rate(times: Column, last: Column, rate: Column) -> Column:
+    """``last, rate`` after ascending times in µs, from those before: exponentially weighted writes a second. A gap of 0 or less counts as 1 µs."""
 
     def step(s: Column, t: Column) -> Column:
         now = F.lit(1e6) / F.greatest(t - s["last"], F.lit(1)).cast("double")
         rate = F.when(s["last"].isNull(), F.lit(None).cast("double")).otherwise(F.coalesce(s["rate"] + (now - s["rate"]) * ALPHA, now))
         return F.struct(t.alias("last"), rate.alias("rate"))
 
-    return F.aggregate(times, start, step, lambda s: F.coalesce(s["rate"], F.lit(0.0)))
+    return F.aggregate(times, F.struct(last.cast("bigint").alias("last"), rate.cast("double").alias("rate")), step)
+
+
+def write_rate(times: Column) -> Column:
+    """The rate of all a key's times; 0 for one write."""
+    return F.coalesce(fold_rate(times, F.lit(None), F.lit(None))["rate"], F.lit(0.0))
 
 
 def key_meta(log: DataFrame, pattern: str | None = None, exact: bool = False) -> DataFrame:

@@ -7,13 +7,12 @@ neighbour's place among the parent's edges). Each level is checkpointed; the dri
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import Graph
+from ..sources.tables import Graph, shared_folder
 from .graph import edges_at, oriented, property_map, props_at
 from .store import latest
 
@@ -21,10 +20,8 @@ DECAY = 0.25
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder that ``spark.checkpoint.dir`` names; in one of our own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="timeweft-"))
+    """Cuts the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

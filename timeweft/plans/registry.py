@@ -576,7 +576,9 @@ def watch_stream(spark, sf):
 def keymeta_stream(spark, sf):
     from ..streaming.watch import replay_key_meta
 
-    return sig(replay_key_meta(spark, sf).select("key", "total_writes", "size_bytes", "min_value", "max_value", "avg_value"), "avg_value")
+    rows = replay_key_meta(spark, sf)
+    rows = rows.withColumns({c: F.when(F.col("n_values") > 0, F.col(c)) for c in ("min_value", "max_value", "avg_value")})
+    return sig(rows.select("key", "total_writes", "size_bytes", "min_value", "max_value", "avg_value"), "avg_value")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

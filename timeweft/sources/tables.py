@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,6 +33,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where that is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="timeweft-"))
+    return sc.getCheckpointDir()
+
+
 def us(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
