@@ -175,6 +175,16 @@ def test_deletion_looks_at_relations_of_the_nodes_only(spark):
         G.MANY = several
 
 
+def test_edges_are_dealt_straight_to_files(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "300")
+        touched = G.delete_nodes(graph(spark, [("a", "t")], [("aa", "a", "a", "r")]), spark.createDataFrame([("a",)], "id string"), 60)[1]
+        assert "RepartitionByExpression [id" in (plan := touched._jdf.queryExecution().analyzed().toString()) and f", {G.STRAIGHT}" in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_resolve(spark):
     g = graph(spark, [("n2", "t"), ("n1", "t"), ("gone", "t", 0, None, True)], [], [("node", "n2", "name", "pump", 0), ("node", "n1", "name", "pump", 0), ("node", "gone", "name", "x", 0)])
     assert [G.resolve(g, k).collect() for k in ("x", "nothing")] == [[], []]

@@ -40,9 +40,9 @@ def nodes_at(g: Graph, at: int | None = None, kind: str | None = None, check_val
     return out.filter(valid(at)) if check_valid else out
 
 
-def edges_at(g: Graph, at: int | None = None, relation: str | None = None, check_valid: bool = True, live: bool = True) -> DataFrame:
+def edges_at(g: Graph, at: int | None = None, relation: str | None = None, check_valid: bool = True, live: bool = True, most: int | None = None) -> DataFrame:
     rows = g.edges if relation is None else g.edges.filter(F.col("relation") == relation)
-    out = latest(rows, at, ("id",), WRITTEN, few=True)
+    out = latest(rows, at, ("id",), WRITTEN, few=True, most=most)
     out = out.filter(~F.col("deleted")) if live else out
     return out.filter(valid(at)) if check_valid else out
 
@@ -242,6 +242,8 @@ def fetch_history(rows: DataFrame, log: DataFrame, key: Column, alias: str, star
 
 SIDES = ("src", "dst")
 MANY = 1000
+#: Up to so many parts, Spark's default of spark.shuffle.sort.bypassMergeThreshold, a shuffle's rows go straight to files; for more they are sorted in memory first, and spilled. For edges that meet nothing by id afterwards.
+STRAIGHT = 200
 
 
 def _spans(g: Graph) -> DataFrame:
@@ -311,7 +313,7 @@ def edge_validity_violations(g: Graph) -> DataFrame:
     sides = SIDES if found is None else [s for s in SIDES if found[s]]
     rows = g if found is None else _of_relations(g, sorted({r for s in SIDES for r in found[s]}, key=str))
     rows = replace(rows, edges=rows.edges.select("id", "src", "dst", "valid_from", "valid_to", "deleted", "ts_us"))
-    now = edges_at(rows, check_valid=False).select("id", "src", "dst", "valid_from", "valid_to")
+    now = edges_at(rows, check_valid=False, most=STRAIGHT).select("id", "src", "dst", "valid_from", "valid_to")
     if not sides:
         return now.select("id", "src", "dst", F.lit("").alias("reason")).filter(F.lit(False))
     return _checked(g, now, 0, sides).filter(F.col("reason").isNotNull()).select("id", "src", "dst", "reason")
@@ -329,7 +331,7 @@ def delete_nodes(g: Graph, ids: DataFrame, ts_us: int) -> tuple[DataFrame, DataF
     found = _relations(_spans(g).join(ends, F.col("node") == F.col("_end"), "left_semi"))
 
     def at(rows: Graph, *sides: str) -> DataFrame:
-        edges = edges_at(rows, check_valid=False)
+        edges = edges_at(rows, check_valid=False, most=STRAIGHT)
         return reduce(DataFrame.union, [edges.join(ends, F.col(s) == F.col("_end"), "left_semi") for s in sides])
 
     if found is None:

@@ -16,15 +16,17 @@ def clock() -> Column:
     return F.struct(*CLOCK)
 
 
-def latest(log: DataFrame, at: int | None = None, keys: tuple[str, ...] = ("key",), clock_columns: tuple[str, ...] = CLOCK, few: bool = False) -> DataFrame:
+def latest(log: DataFrame, at: int | None = None, keys: tuple[str, ...] = ("key",), clock_columns: tuple[str, ...] = CLOCK, few: bool = False, most: int | None = None) -> DataFrame:
     """The last version of each key, at ``at`` inclusive or of all time, tombstones included: one aggregate with map-side combination.
 
     ``few`` is for keys with a version or two, where combining before the shuffle costs a sort of all rows and saves
-    little: the rows are dealt by key first.
+    little: the rows are dealt by key first, into the session's number of parts, ``most`` at the most.
     """
     own = tuple(c for c in clock_columns if c in log.columns)
     seen = log if at is None else log.filter(F.col("ts_us") <= F.lit(at))
-    seen = seen.repartition(*keys) if few else seen
+    if few:
+        above = most is not None and int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")) > most
+        seen = seen.repartition(*([most] if above else []), *keys)
     rest = [c for c in log.columns if c not in keys]
     row = F.max_by(F.struct(*rest), F.struct(*own)).alias("_v")
     return seen.groupBy(*keys).agg(row).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
